@@ -1,9 +1,18 @@
 """Operators of a training-data pipeline, with their queries and SQL."""
 
+from .decontam import OP6_SQL, op6_decontamination
 from .neardup import op1_near_duplicates
+from .sharding import op2_jump_sharding
+from .urlfilter import OP9_SQL, op9_url_rules
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_jump_sharding": op2_jump_sharding,
+    "op6_decontamination": op6_decontamination,
+    "op9_url_rules": op9_url_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op6_decontamination": OP6_SQL,
+    "op9_url_rules": OP9_SQL,
+}
