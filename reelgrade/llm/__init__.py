@@ -3,6 +3,7 @@
 from .decontam import OP6_SQL, op6_decontamination
 from .neardup import op1_near_duplicates
 from .sharding import op2_jump_sharding
+from .tokencount import op10_token_counts
 from .urlfilter import OP9_SQL, op9_url_rules
 
 QUERIES = {
@@ -10,6 +11,7 @@ QUERIES = {
     "op2_jump_sharding": op2_jump_sharding,
     "op6_decontamination": op6_decontamination,
     "op9_url_rules": op9_url_rules,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES = {
