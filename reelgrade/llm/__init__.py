@@ -2,6 +2,7 @@
 
 from .decontam import OP6_SQL, op6_decontamination
 from .neardup import op1_near_duplicates
+from .pieces import op4_sentencepiece
 from .sharding import op2_jump_sharding
 from .tokencount import op10_token_counts
 from .urlfilter import OP9_SQL, op9_url_rules
@@ -9,6 +10,7 @@ from .urlfilter import OP9_SQL, op9_url_rules
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_jump_sharding": op2_jump_sharding,
+    "op4_sentencepiece": op4_sentencepiece,
     "op6_decontamination": op6_decontamination,
     "op9_url_rules": op9_url_rules,
     "op10_token_counts": op10_token_counts,
