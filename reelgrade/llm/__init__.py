@@ -1,6 +1,7 @@
 """Operators of a training-data pipeline, with their queries and SQL."""
 
 from .decontam import OP6_SQL, op6_decontamination
+from .htmltext import op8_html_text
 from .langid import op5_language_id
 from .neardup import op1_near_duplicates
 from .pieces import op4_sentencepiece
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_language_id": op5_language_id,
     "op6_decontamination": op6_decontamination,
+    "op8_html_text": op8_html_text,
     "op9_url_rules": op9_url_rules,
     "op10_token_counts": op10_token_counts,
 }
