@@ -1,5 +1,6 @@
 """Operators of a training-data pipeline, with their queries and SQL."""
 
+from .chroma import op7_chroma_prints
 from .decontam import OP6_SQL, op6_decontamination
 from .htmltext import op8_html_text
 from .langid import op5_language_id
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_language_id": op5_language_id,
     "op6_decontamination": op6_decontamination,
+    "op7_chroma_prints": op7_chroma_prints,
     "op8_html_text": op8_html_text,
     "op9_url_rules": op9_url_rules,
     "op10_token_counts": op10_token_counts,
