@@ -8,7 +8,6 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -291,6 +290,36 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return model
 
 
+def language_of(docs: DataFrame, model: KneserNey, text: str = "text") -> F.Column:
+    """A struct column (lang_pred, score, rejected) for the texts of ``docs``; see ``identify_languages``."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
+
+    @F.pandas_udf("lang_pred string, score double, rejected boolean")
+    def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        made = sent.value
+        for batch in batches:
+            parts = [_judged(made, [t or "" for t in batch.iloc[i : i + 256]]) for i in range(0, len(batch), 256)]
+            yield pd.concat(parts) if parts else pd.DataFrame({"lang_pred": [], "score": [], "rejected": []})
+
+    return judge(F.col(text))
+
+
+def _judged(model: KneserNey, texts: list[str]) -> pd.DataFrame:
+    names = np.array([*model.languages, "und"], object)
+    if not model.languages:
+        return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0, "rejected": True})
+    cost, size = model.costs(texts)
+    each = cost / np.maximum(size, 1)[:, None]
+    best = each.argmin(axis=1)
+    low = each[np.arange(len(texts)), best]
+    ratio = np.exp(-(each - low[:, None]) * np.minimum(size, EVIDENCE)[:, None])
+    return pd.DataFrame({
+        "lang_pred": names[np.where(size > 0, best, len(model.languages))],
+        "score": np.where(size > 0, 1 / ratio.sum(axis=1), 0.0),
+        "rejected": (low > model.limits[best]) | (size == 0),
+    })
+
+
 def identify_languages(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, held_out, lang_pred, score, rejected.
 
@@ -300,34 +329,9 @@ def identify_languages(docs: DataFrame, model: KneserNey, id_col: str = "doc_id"
     score 0, and rejected; so is every text if no language was learned. Ids come back as they are, null and repeated
     ones too (a null id is not held out); no other column is read. No rows: no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = sent.value
-        names = np.array([*made.languages, "und"], object)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                if made.languages:
-                    cost, size = made.costs(texts)
-                    each = cost / np.maximum(size, 1)[:, None]
-                    best = each.argmin(axis=1)
-                    low = each[np.arange(len(texts)), best]
-                    ratio = np.exp(-(each - low[:, None]) * np.minimum(size, EVIDENCE)[:, None])
-                    score = np.where(size > 0, 1 / ratio.sum(axis=1), 0.0)
-                    rejected = (low > made.limits[best]) | (size == 0)
-                    best = np.where(size > 0, best, len(made.languages))
-                else:
-                    best, score, rejected = np.zeros(len(texts), int), np.zeros(len(texts)), np.ones(len(texts), bool)
-                yield pa.record_batch(
-                    [part.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(rejected)],
-                    names=["id", "lang_pred", "score", "rejected"],
-                )
-
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = rows.mapInArrow(run, "id long, lang_pred string, score double, rejected boolean")
-    return found.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "lang_pred", "score", "rejected")
+    found = rows.select("id", language_of(rows, model).alias("found"))
+    return found.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "found.*")
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
