@@ -18,8 +18,10 @@ ORDER = 4
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
 #: Every CALIBRATE-th sampled document is not fitted on: its cross-entropy sets the language's limit.
 CALIBRATE = 5
-#: A document is rejected beyond the calibration mean plus so many deviations (and beyond all calibration documents).
+#: Without other languages to compare with, a document is rejected beyond the calibration mean plus so many deviations.
 DEVIATIONS = 8.0
+#: Short texts vary more: the limit is wider by this over the root of the text's size.
+SLACK = 4.0
 #: A document's evidence counts as that of so many characters at most, for its score.
 EVIDENCE = 50
 #: Characters of a batch of documents; a longer text is scored in parts. Words that a worker remembers.
@@ -231,13 +233,19 @@ class KneserNey:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
     def calibrate(self, texts: pd.DataFrame) -> None:
-        """Limits from documents (lang, text) that the model wasn't fitted on."""
+        """Limits from documents (lang, text) that the model wasn't fitted on.
+
+        A language's limit is what documents of the other languages cost in its model, on average; it is at least
+        what the dearest of its own documents costs, and a twentieth more.
+        """
         cost, size = self.costs(texts["text"].tolist())
+        each = cost / np.maximum(size, 1)[:, None]
         for li, lang in enumerate(self.languages):
             own = (texts["lang"] == lang).to_numpy() & (size > 0)
-            each = cost[own, li] / size[own]
-            if len(each) >= 5:
-                self.limits[li] = max(each.max() * 1.05, each.mean() + DEVIATIONS * each.std())
+            other = (texts["lang"] != lang).to_numpy() & (size > 0)
+            if own.sum() >= 5:
+                foreign = each[other, li].mean() if other.any() else each[own, li].mean() + DEVIATIONS * each[own, li].std()
+                self.limits[li] = max(each[own, li].max() * 1.05, foreign)
 
 
 _power_tables: list[np.ndarray] = []
@@ -316,7 +324,7 @@ def _judged(model: KneserNey, texts: list[str]) -> pd.DataFrame:
     return pd.DataFrame({
         "lang_pred": names[np.where(size > 0, best, len(model.languages))],
         "score": np.where(size > 0, 1 / ratio.sum(axis=1), 0.0),
-        "rejected": (low > model.limits[best]) | (size == 0),
+        "rejected": (low > model.limits[best] + SLACK / np.sqrt(np.maximum(size, 1))) | (size == 0),
     })
 
 
