@@ -141,8 +141,8 @@ def reports(rated: DataFrame, id_col: str = "script_id", text_col: str = "text")
     )
 
 
-def scene_check(rated: DataFrame) -> Column:
-    """The single-scene check's result as JSON."""
+def scene_check() -> Column:
+    """A rated scene's check as JSON."""
     return F.to_json(
         F.struct(
             R.age_name(F.col("base_rank")).alias("base_age"), R.age_name(F.col("age_rank")).alias("final_age"), F.col("override"), per_class().alias("per_class")
