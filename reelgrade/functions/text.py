@@ -13,6 +13,11 @@ LINES = "(?iUdm)"
 ANY_CASE = "(?iUd)"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def pattern(p: str) -> str:
     """Fill in <b> (word border) and <w> (word character)."""
     return p.replace("<b>", BORDER).replace("<w>", WORD)

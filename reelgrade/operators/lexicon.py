@@ -54,19 +54,20 @@ def hits(text: Column, lexicon: list[Entry] | None = None, limit: int = SCORED_C
     Whole words of the lower-cased text's first ``limit`` characters (a word cut there counts as what is left of it);
     the lexicon's own words are taken as they are. A null text has no hits.
     """
-    cut = F.substring(F.coalesce(text, F.lit("")), 1, limit)
-    low = F.lower(cut)
+    lexicon = lexicon if lexicon is not None else entries()
 
-    def of(e: Column) -> Column:
+    def of(t: Column, e: Column) -> Column:
         return F.transform(
-            X.match_offsets(low, e["regex"], e["width"]),
+            X.match_offsets(t["low"], e["regex"], e["width"]),
             lambda o: F.struct(
                 e["category"].alias("category"), e["ord"].alias("ord"), o.alias("offset"), e["word"].alias("match"), e["weight"].alias("weight"),
-                F.translate(X.around(cut, o, o + e["width"], HIT_CONTEXT), "\n", " ").alias("snippet"),
+                F.translate(X.around(t["cut"], o, o + e["width"], HIT_CONTEXT), "\n", " ").alias("snippet"),
             ),
         )
 
-    return F.flatten(F.transform(_occurring(low, lexicon if lexicon is not None else entries()), of))
+    cut = F.substring(F.coalesce(text, F.lit("")), 1, limit)
+    both = F.struct(cut.alias("cut"), F.lower(cut).alias("low"))
+    return X.let(both, lambda t: F.flatten(F.transform(_occurring(t["low"], lexicon), lambda e: of(t, e))))
 
 
 def of_category(found: Column, category: str) -> Column:
@@ -84,13 +85,16 @@ def scores(found: Column) -> dict[str, Column]:
 
 def counts(text: Column, lexicon: list[Entry] | None = None) -> Column:
     """Hits in the whole text, unweighted: an array in the order of the categories."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    each = F.transform(
-        _occurring(low, lexicon if lexicon is not None else entries()),
-        lambda e: F.struct(e["category"].alias("c"), (F.size(F.split(low, e["regex"], -1)) - 1).alias("n")),
-    )
-    of = lambda c: F.aggregate(F.filter(each, lambda x: x["c"] == c), F.lit(0), lambda s, x: s + x["n"])
-    return F.array(*(of(c) for c in CATEGORIES))
+    lexicon = lexicon if lexicon is not None else entries()
+
+    def found(low: Column) -> Column:
+        return F.transform(
+            _occurring(low, lexicon), lambda e: F.struct(e["category"].alias("c"), (F.size(F.split(low, e["regex"], -1)) - 1).alias("n"))
+        )
+
+    each = X.let(F.lower(F.coalesce(text, F.lit(""))), found)
+    of = lambda rows, c: F.aggregate(F.filter(rows, lambda x: x["c"] == c), F.lit(0), lambda s, x: s + x["n"])
+    return X.let(each, lambda rows: F.array(*(of(rows, c) for c in CATEGORIES)))
 
 
 def presence(text: Column, words: dict[str, Iterable[str]] | None = None) -> dict[str, Column]:
@@ -106,8 +110,8 @@ def presence_severity(n: Column) -> Column:
     return F.when(n == 0, "None").when(n == 1, "Mild").when(n <= 3, "Moderate").otherwise("Severe")
 
 
-def any_match(text: Column, patterns: Iterable[str]) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
+def any_match(low: Column, patterns: Iterable[str]) -> Column:
+    """Whether a lower-cased text has a match of any pattern."""
     out = F.lit(False)
     for p in patterns:
         out = out | low.rlike(X.pattern(p))
@@ -116,8 +120,12 @@ def any_match(text: Column, patterns: Iterable[str]) -> Column:
 
 def legal_override(text: Column, rules=OVERRIDES, age: str = OVERRIDE_AGE) -> Column:
     """struct(min_age, reasons) of the first rule set that has a match; null if none has."""
-    out = F.lit(None).cast("struct<min_age:string,reasons:array<string>>")
-    for reason, patterns in reversed(list(rules)):
-        found = F.struct(F.lit(age).alias("min_age"), F.array(F.lit(reason)).alias("reasons"))
-        out = F.when(any_match(text, patterns), found).otherwise(out)
-    return out
+
+    def judge(low: Column) -> Column:
+        out = F.lit(None).cast("struct<min_age:string,reasons:array<string>>")
+        for reason, patterns in reversed(list(rules)):
+            found = F.struct(F.lit(age).alias("min_age"), F.array(F.lit(reason)).alias("reasons"))
+            out = F.when(any_match(low, patterns), found).otherwise(out)
+        return out
+
+    return X.let(F.lower(F.coalesce(text, F.lit(""))), judge)

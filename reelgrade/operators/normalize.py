@@ -11,6 +11,7 @@ from collections.abc import Iterable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import scenes as S
 from ..functions import text as X
@@ -65,7 +66,7 @@ PARAGRAPH = ((r"(?i)\{\.underline\}", ""), (r"\{\.smallcaps\}", ""), (r"\*\*(.*?
 CAST_LINE = r"(?Udm)^\s*\[.*?\]\s*$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     """Unicode's composed form; Spark has no function for it."""
     return texts.str.normalize("NFC")

@@ -1,4 +1,5 @@
 """Registered queries and their DuckDB counterparts."""
 
-QUERIES = {}
-ORACLES = {}
+from .tables import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

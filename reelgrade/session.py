@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -25,6 +25,13 @@ def local_session(cpus: int | None = None, shuffle_partitions: int = 8, memory:
     return spark
 
 
-def table(spark: SparkSession, sf_dir: str, name: str):
-    """One of the driver's parquet tables."""
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to all cores if they come in fewer parts than that (one small file is one task, however slow the rest
+    of the row's work). A table of many files is left as it is read: no shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() <= cores else rows
