@@ -81,7 +81,7 @@ def hashing_encoder(width: int = 64) -> Encoder:
         out = np.zeros((len(windows), width), np.float32)
         for i, tokens in enumerate(windows):
             for t in tokens:
-                x = (np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.uint64(t & 0xFFFFFFFF) * np.uint64(0xC2B2AE3D27D4EB4F))
+                x = (np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (np.uint64(int(t) & 0xFFFFFFFF) * np.uint64(0xC2B2AE3D27D4EB4F))
                 x ^= x >> np.uint64(29)
                 out[i] += ((x * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)).astype(np.float32) / 2**24 - 0.5
             out[i] /= max(len(tokens), 1)
