@@ -68,15 +68,19 @@ def per_class() -> Column:
     return F.create_map(*(x for c in CATEGORIES for x in (F.lit(c), entry(c))))
 
 
-def summarize(rated: DataFrame, id_col: str) -> DataFrame:
-    """One row per script: scenes, counts by age, the highest age, and by category scenes and hits."""
-    return rated.groupBy(id_col).agg(
+def _sums() -> list[Column]:
+    return [
         F.count("*").alias("count_scenes"),
         F.max("age_rank").alias("age_rank"),
         *(F.count_if(F.col("age_rank") == i).alias(f"n_{i}") for i in range(1, len(AGES))),
         *(F.count_if(F.col(f"rank_{c}") > 0).alias(f"scenes_{c}") for c in CATEGORIES),
         *(F.sum(F.size(L.of_category(F.col("hits"), c))).alias(f"hits_{c}") for c in CATEGORIES),
-    )
+    ]
+
+
+def summarize(rated: DataFrame, id_col: str) -> DataFrame:
+    """One row per script: scenes, counts by age, the highest age, and by category scenes and hits."""
+    return rated.groupBy(id_col).agg(*_sums())
 
 
 def percentage(n: Column, of: Column) -> Column:
@@ -116,11 +120,11 @@ def reports(rated: DataFrame, id_col: str = "script_id", text_col: str = "text")
         ).alias("detail"),
         "age_rank", "hits", *(f"rank_{c}" for c in CATEGORIES),
     )
-    # A map can't be sorted; the scenes' places are, and the details follow them.
-    s = summarize(detail, id_col)
-    order = detail.groupBy(id_col).agg(F.collect_list(F.struct(F.col("detail.scene_index").alias("i"), F.to_json("detail").alias("d"))).alias("ds"))
+    # A map can't be sorted; the scenes' places are, and the details follow them as JSON.
+    gathered = F.collect_list(F.struct(F.col("detail.scene_index").alias("i"), F.to_json("detail").alias("d"))).alias("ds")
     kind = detail.schema["detail"].dataType.simpleString()
-    order = order.select(id_col, F.transform(F.array_sort("ds"), lambda x: F.from_json(x["d"], kind)).alias("details"))
+    s = detail.groupBy(id_col).agg(*_sums(), gathered)
+    s = s.withColumn("details", F.transform(F.array_sort("ds"), lambda x: F.from_json(x["d"], kind)))
     guide = F.create_map(
         *(
             x for c in CATEGORIES for x in (
@@ -130,7 +134,7 @@ def reports(rated: DataFrame, id_col: str = "script_id", text_col: str = "text")
         )
     )
     ratings = F.create_map(*(x for i in range(1, len(AGES)) for x in (F.lit(AGES[i]), F.col(f"n_{i}"))))
-    return s.join(order, id_col).select(
+    return s.select(
         id_col,
         F.struct(
             R.age_name(F.col("age_rank")).alias("rating"),
