@@ -79,16 +79,28 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose full shingle sets are alike enough. Joins by b first: a, the center, may be hot."""
-    left, right = (sets.select(F.col("digest").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ba")
+    left, right = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ba")
     both = F.size(F.array_intersect("sa", "sb"))
     return (
-        pairs.join(left, "b")
-        .join(right, "a")
+        _join(_join(pairs, left, "b"), right, "a")
         .where(100 * both >= THRESHOLD * (F.size("sa") + F.size("sb") - both))
         .select("a", "b")
     )
 
 
+def _join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A sort-merge join, at every size: AQE can split a hot key's rows, and nothing is sent whole to all tasks."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def _alike_in_size(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose set sizes allow the threshold at all."""
+    sized = classes.select("node", "n")
+    for k in "ab":
+        pairs = _join(pairs, sized.withColumnsRenamed({"node": k, "n": f"n{k}"}), k)
+    return pairs.where(100 * F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, n_shingles, component_id and kept.
 
@@ -108,22 +120,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     feats = space.table(rows.mapInArrow(_features, "id long, digest binary, n long, bands array<long>"), "features")
 
     live = feats.where("n > 0 AND id IS NOT NULL")
-    classes = space.table(live.groupBy("digest").agg(F.min("id").alias("id"), F.max("n").alias("n")), "classes")
-    own = live.select("id", "digest", "bands").join(classes, ["digest", "id"])
-    member = own.select(F.explode("bands").alias("bucket"), "digest", "id", "n")
-    center = (
-        member.groupBy("bucket")
-        .agg(F.min(F.struct("id", "digest", "n")).alias("c"), F.max(F.struct("id", "digest", "n")).alias("d"))
-        .where("c <> d")
-        .select("bucket", F.col("c.digest").alias("a"), F.col("c.n").alias("an"))
-    )
-    members = space.table(member.join(center, "bucket"), "members")
-
-    fits = "100 * least(n, an) >= 75 * greatest(n, an)"
-    pairs = members.where("digest <> a").where(fits).select("a", F.col("digest").alias("b")).distinct()
-    pairs = space.table(pairs, "pairs")
-    needed = members.select("id").distinct()
-    sets = rows.join(needed, "id", "left_semi").select("text").mapInArrow(_sets, "digest binary, shingles array<long>")
+    classes = live.groupBy("digest").agg(F.min("id").alias("id"), F.max("n").alias("n"))
+    classes = space.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # nodes are fixed by writing
+    own = _join(live.select("id", "digest", "bands"), classes.select("digest", "id", "node"), ["digest", "id"])
+    member = own.select(F.explode("bands").alias("bucket"), "id", "node")
+    center = member.groupBy("bucket").agg(F.min(F.struct("id", "node")).alias("c"), F.max("node").alias("hi"), F.min("node").alias("lo"))
+    center = center.where("lo <> hi").select("bucket", F.col("c.node").alias("a"))
+    members = space.table(_join(member.select("bucket", "node"), center, "bucket"), "members")
+
+    pairs = members.where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    pairs = space.table(_alike_in_size(pairs, classes), "pairs")
+    needed = _join(classes.select("id", "digest", "node"), members.select("node").distinct(), "node", "left_semi")
+    sets = _join(rows, needed.select("id").distinct(), "id", "left_semi").select("text").mapInArrow(_sets, "digest binary, shingles array<long>")
+    sets = _join(sets, needed.select("digest", "node"), "digest").select("node", "shingles")
     sets = space.table(sets, "sets")
     tried, links = pairs, space.table(_confirmed(pairs, sets).distinct(), "links")
 
@@ -131,20 +140,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     while True:
         comps = connected_components(links, space)
         step += 1
-        placed = members.select("bucket", "digest", "id", "n").join(
-            comps.withColumnsRenamed({"node": "digest", "component": "comp"}), "digest", "left"
-        ).withColumn("comp", F.coalesce("comp", "digest"))
-        placed = space.table(placed, "placed")
-        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        open_ = space.table(placed.join(mixed, "bucket", "left_semi").distinct(), "open")
-        turn = open_.withColumn(
-            "turn", F.expr("row_number() OVER (PARTITION BY bucket ORDER BY xxhash64(digest), digest)")
-        ).where(F.col("turn") <= CENTERS * step).where(F.col("turn") > CENTERS * (step - 1))
-        turn = turn.select("bucket", F.col("digest").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
-        fresh = open_.join(turn, "bucket").where("digest <> a AND comp <> ac").where(fits)
-        fresh = fresh.select(F.least("a", "digest").alias("a"), F.greatest("a", "digest").alias("b")).distinct()
+        placed = _join(members.select("bucket", "node"), comps, "node", "left")
+        placed = space.table(placed.withColumn("component", F.coalesce("component", "node")), "placed")
+        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+        mixed = space.table(_join(placed, mixed, "bucket", "left_semi").distinct(), "mixed")
+        turn = mixed.withColumn("turn", F.expr("row_number() OVER (PARTITION BY bucket ORDER BY xxhash64(node), node)"))
+        turn = turn.where(F.col("turn") <= CENTERS * step).where(F.col("turn") > CENTERS * (step - 1))
+        turn = turn.select("bucket", F.col("node").alias("a"), F.col("component").alias("ac"))
+        fresh = _join(mixed, turn, "bucket").where("node <> a AND component <> ac")
+        fresh = fresh.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = space.table(fresh.join(known, ["a", "b"], "left_anti"), "pairs")
+        fresh = space.table(_alike_in_size(_join(fresh, known, ["a", "b"], "left_anti"), classes), "pairs")
         if fresh.isEmpty():
             break
         more = space.table(_confirmed(fresh, sets).distinct(), "links")
@@ -152,11 +158,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         tried, links = tried.unionByName(fresh), links.unionByName(more)
 
-    placed = classes.join(comps.withColumnsRenamed({"node": "digest", "component": "comp"}), "digest", "left")
-    placed = placed.withColumn("comp", F.coalesce("comp", "digest"))
-    named = placed.groupBy("comp").agg(F.min("id").alias("component_id"))
-    named = space.table(placed.select("digest", "comp").join(named, "comp").select("digest", "component_id"), "named")
-    out = feats.select("id", "digest", "n").join(named, "digest", "left")
+    placed = _join(classes, comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = placed.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = space.table(_join(placed.select("digest", "component"), named, "component").select("digest", "component_id"), "named")
+    out = _join(feats.select("id", "digest", "n"), named, "digest", "left")
     whole = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias(id_col),
