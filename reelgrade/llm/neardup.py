@@ -16,7 +16,7 @@ from .store import Workspace
 
 BINS, BANDS = 128, 32
 #: Centers that a bucket with several components offers in each later round.
-CENTERS = 8
+CENTERS = 3
 THRESHOLD = 75
 
 
