@@ -14,13 +14,13 @@ FIELDS = (S.NO, S.PER, S.TYP, S.LOC, S.TOD)
 
 def place_type(raw: Column) -> Column:
     """The canonical place type; an unknown one in capitals; nothing of nothing."""
-    raw = F.coalesce(raw, F.lit(""))
-    return F.when(raw == "", "").otherwise(X.mapped(X.strip(F.replace(F.lower(raw), F.lit("."), F.lit(""))), PLACE_TYPES, F.upper(raw)))
+    known = lambda x: X.mapped(X.strip(F.replace(F.lower(x), F.lit("."), F.lit(""))), PLACE_TYPES, F.upper(x))
+    return X.let(F.coalesce(raw, F.lit("")), lambda x: F.when(x == "", "").otherwise(known(x)))
 
 
 def time_of_day(raw: Column) -> Column:
-    raw = F.coalesce(raw, F.lit(""))
-    return F.when(raw == "", "").otherwise(X.mapped(X.strip(F.lower(raw)), TIMES_OF_DAY, F.upper(raw)))
+    known = lambda x: X.mapped(X.strip(F.lower(x)), TIMES_OF_DAY, F.upper(x))
+    return X.let(F.coalesce(raw, F.lit("")), lambda x: F.when(x == "", "").otherwise(known(x)))
 
 
 def _header(**parts: Column) -> Column:
@@ -45,16 +45,22 @@ def heuristic(line: Column, wide: bool = False) -> Column:
     kind = place_type(F.regexp_extract(line, X.ANY_CASE + X.pattern(S.ANY_TYPE), 1))
     tod = time_of_day(F.regexp_extract(line, times, 1))
     q = lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))
-    between = F.concat(F.lit("(?iUd)"), q(kind), F.lit(r"\s*(.+?)\s*[-–—:]\s*"), q(tod))
-    before = F.concat(F.lit(r"(?iUd)(.+?)\s*[-–—:]\s*"), q(tod))
-    place = F.when(tod == "", "").when(kind != "", F.call_function("regexp_extract", line, between, F.lit(1))).otherwise(F.call_function("regexp_extract", line, before, F.lit(1)))
-    return _header(scene_no=number, place_type=kind, location=X.strip_chars(X.strip(place), "."), tod=tod)
+
+    def located(found: Column) -> Column:
+        kind, tod = found["kind"], found["tod"]
+        between = F.concat(F.lit("(?iUd)"), q(kind), F.lit(r"\s*(.+?)\s*[-–—:]\s*"), q(tod))
+        before = F.concat(F.lit(r"(?iUd)(.+?)\s*[-–—:]\s*"), q(tod))
+        regex = F.when(kind != "", between).otherwise(before)
+        place = F.when(tod == "", "").otherwise(F.call_function("regexp_extract", line, regex, F.lit(1)))
+        return _header(scene_no=found["number"], place_type=kind, location=X.strip_chars(X.strip(place), "."), tod=tod)
+
+    return X.let(F.struct(number.alias("number"), kind.alias("kind"), tod.alias("tod")), located)
 
 
 def parse_header(text: Column, wide: bool = False) -> Column:
     """struct(scene_no, period, place_type, location, tod) of the text's first line; what is missing is empty, never null."""
-    line = X.first_line(F.coalesce(text, F.lit("")))
-    return F.coalesce(*(_parsed(line, regex, groups) for regex, groups in S.PARSERS), heuristic(line, wide))
+    parsed = lambda line: F.coalesce(*(_parsed(line, regex, groups) for regex, groups in S.PARSERS), heuristic(line, wide))
+    return X.let(X.first_line(F.coalesce(text, F.lit(""))), parsed)
 
 
 def is_empty(header: Column) -> Column:

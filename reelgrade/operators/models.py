@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.errors import AnalysisException
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,3 +80,11 @@ def metrics(rows: DataFrame, label: str, prediction: str) -> DataFrame:
 
 def save_head(model, path: str) -> None:
     model.write().overwrite().save(path)
+
+
+def load_head(path: str, regression: bool = False):
+    """A head that was saved; None if there is none, as heads are optional."""
+    try:
+        return (LinearRegressionModel if regression else LogisticRegressionModel).load(path)
+    except AnalysisException:
+        return None

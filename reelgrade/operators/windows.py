@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import CATEGORIES, TOP_WINDOWS
+from ..functions.values import CATEGORIES, EPISODE_CHARS, EPISODE_TOKENS, TOP_WINDOWS
 
 
 def norm(vector: Column) -> Column:
@@ -71,6 +71,15 @@ def cache_key(text: Column, length: int, stride: int) -> Column:
     return F.sha1(F.concat(F.coalesce(text, F.lit("")), F.lit(f"|{length}|{stride}")))
 
 
+def episode_text(text: Column) -> Column:
+    """What of an episode is encoded for training."""
+    return F.substring(F.coalesce(text, F.lit("")), 1, EPISODE_CHARS)
+
+
+def episode_tokens(tokens: Column) -> Column:
+    return F.slice(tokens, 1, EPISODE_TOKENS)
+
+
 Encoder = Callable[[list[list[int]]], np.ndarray]
 
 

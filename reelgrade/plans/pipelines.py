@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.values import CATEGORIES, LOG_CHARS, SCENE_STRIDE, SCENE_WINDOW
+from ..functions.values import CATEGORIES, LOG_CHARS, SCENE_STRIDE, SCENE_WINDOW, SEVERITIES
 from ..operators import headers as H
 from ..operators import lexicon as L
+from ..operators import models as M
 from ..operators import normalize as N
 from ..operators import rating as R
 from ..operators import segment as G
@@ -69,6 +70,65 @@ def extract_label_files(spark: SparkSession, path: str, labels_path: str, reject
     sinks.write_rejects(rejects, rejects_path)
 
 
+def extraction_summary(scenes: DataFrame) -> DataFrame:
+    """One row: scenes cut, written and skipped."""
+    labels, rejects = extract_labels(scenes)
+    rows = labels.select(F.lit(1).alias("w"), F.lit(0).alias("s")).unionByName(rejects.where("reason = 'skipped'").select(F.lit(0).alias("w"), F.lit(1).alias("s")))
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return rows.agg(F.count("*").alias("cut"), n("w").alias("written"), n("s").alias("skipped"))
+
+
+def annotation_rows(scenes: DataFrame, answers: DataFrame) -> DataFrame:
+    """Annotated label rows. ``answers``: script_id, scene_index, sev_<category> (null: none), episodes (array of cat,
+    quote, offset) and notes; a severity outside the choices is None, and a quote's offset is looked up in the scene."""
+    rows = scenes.join(answers, ["script_id", "scene_index"]).withColumn("h", H.parse_header(F.col("text")))
+    severity = lambda c: F.when(F.col(f"sev_{c}").isin("Mild", "Moderate", "Severe"), F.col(f"sev_{c}")).otherwise("None")
+    found = F.transform(
+        "episodes",
+        lambda e: F.struct(e["cat"].alias("cat"), T.quote_offset(F.col("text"), e["quote"], F.coalesce(e["offset"], F.lit(0))).alias("offset"), e["quote"].alias("text")),
+    )
+    return rows.select(
+        *(F.col(f"h.{f}").alias(f) for f in ("scene_no", "place_type", "location", "tod")),
+        *(x for c in CATEGORIES for x in (F.col(f"sev_{c}").isNotNull().cast("int").alias(f"has_{c}"), severity(c).alias(f"sev_{c}"))),
+        F.coalesce(F.to_json(found), F.lit("[]")).alias("episodes_json"), F.coalesce("notes", F.lit("")).alias("notes"),
+    )
+
+
+def presence_reports(texts: DataFrame) -> DataFrame:
+    """The older program's reports: one JSON document a script."""
+    rows = analyze_by_presence(texts)
+    worst = F.greatest(*(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col(c)) for c in CATEGORIES))
+    made = rows.groupBy("script_id").agg(
+        F.max(worst).cast("int").alias("worst"), F.array_sort(F.collect_list(F.struct("scene_id", "text", *CATEGORIES))).alias("scenes")
+    )
+    age = F.element_at(F.array(*map(F.lit, ("0+", "12+", "16+", "18+"))), F.col("worst"))
+    return made.select("script_id", F.to_json(F.struct(age.alias("age_rating"), "scenes")).alias("report"))
+
+
+def train_scene_heads(features: DataFrame, labels: DataFrame) -> tuple[dict, dict]:
+    """A classifier for each category, and its metrics on the rows held out. Features and labels meet by key."""
+    rows = features.join(labels, ["script_id", "scene_index"]).withColumn("train", M.in_training(F.concat_ws("#", "script_id", "scene_index")))
+    heads, judged = {}, {}
+    for c in CATEGORIES:
+        heads[c] = M.fit_logistic(rows.where("train"), f"has_{c}", "x")
+        guess = M.predict(rows.where("NOT train"), heads[c], "p", "x").withColumn("guess", (F.col("p") > 0.5).cast("int"))
+        judged[c] = M.metrics(guess, f"has_{c}", "guess")
+    return heads, judged
+
+
+def train_episode_heads(vectors: DataFrame) -> dict:
+    """A classifier and a severity regression for each category, from episodes with a ``vector`` column and a key ``text``."""
+    rows = vectors.where(M.in_training(F.col("text")))
+    return {c: {"bin": M.fit_logistic(rows, c), "sev": M.fit_ridge(rows, f"sev_{c}_num")} for c in CATEGORIES}
+
+
+def apply_heads(features: DataFrame, heads: dict, vector: str = "x") -> DataFrame:
+    """Features with a column proba_<category> for each head."""
+    for c in CATEGORIES:
+        features = M.predict(features, heads[c], f"proba_{c}", vector)
+    return features
+
+
 def extract_episodes(texts: DataFrame) -> DataFrame:
     cleaned = texts.select("script_id", N.clean_episode_text(F.col("text")).alias("text"))
     return T.episode_rows(cleaned, "script_id")

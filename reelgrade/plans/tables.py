@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ratings as R
 from ..functions import text as X
-from ..functions.values import AGES, CATEGORIES, PLACE_TYPES, SEVERITIES, SEVERITY_WORDS, TIMES_OF_DAY
+from ..functions.values import AGES, CATEGORIES, PLACE_TYPES, SEVERITY_WORDS, TIMES_OF_DAY
 from ..operators import headers as H
 from ..operators import lexicon as L
 from ..operators import models as M
@@ -18,7 +18,7 @@ from ..operators import tags as T
 from ..operators import windows as W
 from ..session import spread, table
 from . import fixtures as P
-from .pipelines import extract_labels, rate_scripts
+from .pipelines import extract_labels, extraction_summary, rate_scripts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -385,7 +385,6 @@ def kv_tag_features(spark, sf_dir):
 
 _SWORD = "CASE s WHEN 'mild' THEN 'Mild' WHEN 'odd' THEN 'Odd' ELSE s END"
 _SNULL = "CASE s WHEN 'Severe' THEN 1.0::DOUBLE WHEN 'mild' THEN 0.33::DOUBLE WHEN 'Moderate' THEN 0.66::DOUBLE END"
-_NONE_COLS = "0 AS sexual, {v} AS violence, {p} AS profanity, 0 AS alcohol_drugs, {y} AS scary"
 
 
 @query(f"""WITH t AS (SELECT *, {_TAGGED} AS m FROM ({_TAG_SOURCE}))
@@ -425,6 +424,36 @@ def rejects(spark, sf_dir):
     return extract_labels(_labelled(spark, sf_dir))[1]
 
 
+@query("""SELECT count(*) AS cut, count(CASE WHEN event_id % 4 <> 0 THEN 1 END) AS written, count(CASE WHEN event_id % 4 = 0 THEN 1 END) AS skipped FROM events""")
+def extraction_counts(spark, sf_dir):
+    """Scenes cut, written and skipped."""
+    return extraction_summary(_labelled(spark, sf_dir))
+
+
+@query("""SELECT p_partkey, p_size % 5 AS headings, p_size % 5 AS scenes, 0 AS missing FROM part""")
+def split_diagnostics(spark, sf_dir):
+    """Headings counted against scenes split, of scripts with none to four."""
+    text = F.expr("repeat('INT. ROOM - DAY\nfive words are in here\n', p_size % 5)")
+    d = table(spark, sf_dir, "part").select("p_partkey", text.alias("text"))
+    n, m = F.size(G.counted_headings(F.col("text"))), F.size(G.older_scenes(F.col("text")))
+    return d.select("p_partkey", n.alias("headings"), m.alias("scenes"), F.greatest(n - m, F.lit(0)).alias("missing"))
+
+
+@query("""SELECT p_partkey, '3. INT. ' || b || ' - NIGHT' AS dashed, 'EXT. ' || b || ' - DAY' AS bare, '3. INT. ' || b || ' - DAY' || chr(10) || 'x' AS whole
+FROM (SELECT p_partkey, upper(replace(p_brand, '#', ' ')) AS b FROM part)""")
+def heading_forms(spark, sf_dir):
+    """Headings in their strict form, and a script's headings in one form."""
+    b = F.upper(F.translate("p_brand", "#", " "))
+    d = table(spark, sf_dir, "part").select("p_partkey", b.alias("b"))
+    line = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    return d.select(
+        "p_partkey",
+        N.normalize_heading(line("3. int - ", F.col("b"), ": night"), compose=False).alias("dashed"),
+        N.normalize_heading(line("ext. ", F.col("b"), "  —  day."), compose=False).alias("bare"),
+        N.normalize_headings(line("3. INT ", F.col("b"), ". DAY.   \nx"), compose=False).alias("whole"),
+    )
+
+
 @query("""SELECT event_id, CAST(CASE WHEN instr(t, substr(q, 1, 12)) > 0 THEN instr(t, substr(q, 1, 12)) - 1 ELSE 7 END AS INTEGER) AS quote_offset,
   '[{"cat":"scary","offset":' || CASE WHEN instr(t, substr(q, 1, 12)) > 0 THEN instr(t, substr(q, 1, 12)) - 1 ELSE 7 END || '}]' AS episodes_json
 FROM (SELECT event_id, 'type ' || event_type || ' of an event' AS t, event_type || ' of an evening' AS q FROM events)""")

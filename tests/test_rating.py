@@ -11,7 +11,6 @@ from reelgrade.operators import headers as H
 from reelgrade.operators import lexicon as L
 from reelgrade.operators import models as M
 from reelgrade.operators import normalize as N
-from reelgrade.operators import rating as Q
 from reelgrade.operators import segment as G
 from reelgrade.operators import tags as T
 from reelgrade.operators import windows as W
@@ -184,3 +183,31 @@ def test_marker_scenes(spark):
 
 def test_python_white_space(spark):
     assert one(spark, X.strip(F.col("t")), t="  a b  \n") == "a b" and one(spark, X.word_count(F.col("t")), t=" a b ") == 2
+
+
+def test_training_programs(spark, tmp_path):
+    rows = [("a", i, [float(i % 7), float(i > 30)], *(int(i > 30), "None") * 5) for i in range(60)]
+    cats = ("violence", "sexual", "profanity", "alcohol_drugs", "scary")
+    schema = "script_id string, scene_index int, x array<double>, " + ", ".join(f"has_{c} int, sev_{c} string" for c in cats)
+    made = spark.createDataFrame(rows, schema)
+    heads, judged = pipelines.train_scene_heads(made.select("script_id", "scene_index", "x"), made.drop("x"))
+    assert set(heads) == set(cats) and judged["scary"].count() == 2
+    scored = pipelines.apply_heads(made.select("scene_index", "x"), heads)
+    assert scored.where("(proba_violence > 0.5) = (scene_index > 30)").count() == 60
+    M.save_head(heads["scary"], str(tmp_path / "h"))
+    assert M.load_head(str(tmp_path / "h")).coefficients == heads["scary"].coefficients and M.load_head(str(tmp_path / "none")) is None
+
+
+def test_annotations_and_older_reports(spark):
+    scenes = spark.createDataFrame([("a", 1, "INT. ROOM - DAY\nHe takes the knife at last")], "script_id string, scene_index int, text string")
+    answers = spark.createDataFrame(
+        [("a", 1, "Mild", None, "odd", None, None, [("violence", "takes the kni...", None), ("scary", "", 3)], None)],
+        "script_id string, scene_index int, sev_violence string, sev_sexual string, sev_profanity string, sev_alcohol_drugs string, sev_scary string, "
+        "episodes array<struct<cat:string,quote:string,offset:int>>, notes string",
+    )
+    row = pipelines.annotation_rows(scenes, answers).first()
+    assert (row["location"], row["has_violence"], row["sev_violence"], row["has_profanity"], row["sev_profanity"], row["has_scary"]) == ("ROOM", 1, "Mild", 1, "None", 0)
+    assert [e["offset"] for e in json.loads(row["episodes_json"])] == [19, 3]
+    texts = spark.createDataFrame([("a", "INT. нож кровь труп тут EXT. тихий вечер в саду")], "script_id string, text string")
+    report = json.loads(pipelines.presence_reports(texts).first()["report"])
+    assert report["age_rating"] == "16+" and [s["violence"] for s in report["scenes"]] == ["Moderate", "None"]
