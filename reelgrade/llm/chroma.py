@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import mix
 from .store import Workspace
 
 #: Samples a second to which recordings are brought; samples of a frame, and from one frame to the next.
@@ -28,8 +29,9 @@ LOWEST, HIGHEST = 60.0, 1000.0
 SPAN = 16
 #: Shares of bits that may differ, and frames that must overlap, for two recordings to be aligned.
 ERRORS, OVERLAP = 0.15, 24
-#: Frames between the two fingerprint integers that make a landmark, and landmarks that must agree on an offset.
-APART, AGREE = 8, 4
+#: Frames between the two fingerprint integers that make a landmark; of each WINNOW frames' landmarks the smallest is
+#: kept, so that a shared stretch of APART + WINNOW frames shares one; and landmarks that must agree on an offset.
+APART, WINNOW, AGREE = 8, 8, 2
 
 # Fixed values. Filters over [frame, pitch class]: kind, first class, classes, frames. Kinds: 0 the whole area, 1 upper
 # against lower classes, 2 earlier against later frames, 3 checks, 4 middle frames against outer, 5 middle classes
@@ -136,7 +138,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _landmarks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A class's landmarks: two fingerprint integers APART frames from one another, and the first frame of each run of equal ones."""
+    """A class's landmarks: two fingerprint integers APART frames from one another, winnowed by hash (of equal ones the last)."""
     for batch in batches:
         for i in range(0, batch.num_rows, 100):
             part = batch.slice(i, 100)
@@ -146,10 +148,14 @@ def _landmarks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(f) <= APART:
                     continue
                 pair = (f[:-APART] << 32) ^ f[APART:]
-                first = np.flatnonzero(np.diff(pair, prepend=pair[0] ^ 1) != 0)
-                classes.append(np.full(len(first), node, np.int64))
-                marks.append(pair[first])
-                frames.append(first.astype(np.int32))
+                with np.errstate(over="ignore"):
+                    order = mix(pair.view(np.uint64))
+                windows = np.lib.stride_tricks.sliding_window_view(order, min(WINNOW, len(order)))
+                last = windows.shape[1] - 1 - windows[:, ::-1].argmin(axis=1)
+                kept = np.unique(last + np.arange(len(windows)))
+                classes.append(np.full(len(kept), node, np.int64))
+                marks.append(pair[kept])
+                frames.append(kept.astype(np.int32))
             join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
             yield pa.record_batch(
                 [pa.array(join(classes, np.int64)), pa.array(join(marks, np.int64)), pa.array(join(frames, np.int32))], names=["node", "mark", "frame"]
