@@ -25,7 +25,7 @@ SLACK = 4.0
 #: A document's evidence counts as that of so many characters at most, for its score.
 EVIDENCE = 50
 #: Characters of a batch of documents; a longer text is scored in parts. Words that a worker remembers.
-BATCH_CHARS, MEMORY_WORDS = 1 << 20, 600_000
+BATCH_CHARS, MEMORY_WORDS = 1 << 20, 300_000
 START, STOP = 0, 1
 
 _GRAM = stream(31, ORDER)
@@ -205,32 +205,27 @@ class KneserNey:
         return out, size
 
     def _known(self, keys: np.ndarray, points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Costs of distinct words, remembered from batch to batch."""
-        memory = self.__dict__.setdefault("_memory", {})
-        if len(memory) > MEMORY_WORDS:
-            memory.clear()
-        if not memory:
-            self._rows = np.empty((0, len(self.languages)))
-            self._free = 0
-        get = memory.get
+        """Costs of distinct words, remembered from batch to batch; a worker remembers those of one model only."""
+        if _memory.get("model") is not self or len(_memory["rows"]) > MEMORY_WORDS:
+            _memory.clear()
+            _memory.update(model=self, rows={}, costs=np.empty((0, len(self.languages))))
+        rows, held = _memory["rows"], _memory["costs"]
+        get = rows.get
         row = np.array([get(k, -1) for k in keys.tolist()], np.int64)
         new = np.flatnonzero(row < 0)
         if len(new):
             lengths = b[new] - a[new]
             inside = np.repeat(a[new] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
             found = self.word_costs(points[inside].astype(np.uint64), lengths)
-            row[new] = self._free + np.arange(len(new))
-            memory.update(zip(keys[new].tolist(), row[new].tolist(), strict=True))
-            if self._free + len(new) > len(self._rows):
-                grown = np.empty((max(2 * len(self._rows), self._free + len(new)), len(self.languages)))
-                grown[: self._free] = self._rows[: self._free]
-                self._rows = grown
-            self._rows[self._free : self._free + len(new)] = found
-            self._free += len(new)
-        return self._rows[row]
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+            first = len(rows)
+            row[new] = first + np.arange(len(new))
+            rows.update(zip(keys[new].tolist(), row[new].tolist(), strict=True))
+            if len(rows) > len(held):
+                grown = np.empty((max(2 * len(held), len(rows)), len(self.languages)))
+                grown[:first] = held[:first]
+                held = _memory["costs"] = grown
+            held[first : len(rows)] = found
+        return held[row]
 
     def calibrate(self, texts: pd.DataFrame) -> None:
         """Limits from documents (lang, text) that the model wasn't fitted on.
@@ -248,6 +243,7 @@ class KneserNey:
                 self.limits[li] = max(each[own, li].max() * 1.05, foreign)
 
 
+_memory: dict = {}
 _power_tables: list[np.ndarray] = []
 
 

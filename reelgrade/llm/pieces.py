@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Words whose pieces a worker remembers before it starts anew.
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 350_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 
 
