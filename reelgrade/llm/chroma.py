@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import mix
 from .store import Workspace
 
 #: Samples a second to which recordings are brought; samples of a frame, and from one frame to the next.
@@ -29,9 +28,14 @@ LOWEST, HIGHEST = 60.0, 1000.0
 SPAN = 16
 #: Shares of bits that may differ, and frames that must overlap, for two recordings to be aligned.
 ERRORS, OVERLAP = 0.15, 24
-#: Frames between the two fingerprint integers that make a landmark; of each WINNOW frames' landmarks the smallest is
-#: kept, so that a shared stretch of APART + WINNOW frames shares one; and landmarks that must agree on an offset.
-APART, WINNOW, AGREE = 8, 8, 2
+#: Every frame on both sides proposes pairs: two fingerprint integers APART frames from one another that agree in one of
+#: KEYS sub-keys (KEY_BITS neighbouring bits of each, in a circle), and differ in NEAR of their 64 bits at most, propose an
+#: offset. It is compared in full if of the bits of LOOKS frames, spread over the overlap, a share of LOOSE differs at most.
+KEYS, KEY_BITS, APART, NEAR, LOOKS, LOOSE = 8, 12, 8, 12, 12, 0.3
+#: Values by which sub-keys are looked up (in bits).
+SLOTS = 21
+#: Frames of the queries that are sent to every task at a time, and frames, hits and compared frames handled at a time.
+BLOCK_FRAMES, PART_FRAMES, HITS = 1 << 21, 1 << 16, 1 << 21
 
 # Fixed values. Filters over [frame, pitch class]: kind, first class, classes, frames. Kinds: 0 the whole area, 1 upper
 # against lower classes, 2 earlier against later frames, 3 checks, 4 middle frames against outer, 5 middle classes
@@ -137,48 +141,136 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.record_batch([part.column(0), pa.array(digests, pa.binary()), pa.array(found, pa.binary())], names=["id", "digest", "prints"])
 
 
-def _landmarks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A class's landmarks: two fingerprint integers APART frames from one another, winnowed by hash (of equal ones the last)."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 100):
-            part = batch.slice(i, 100)
-            classes, marks, frames = [], [], []
-            for node, blob in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                f = np.frombuffer(blob, "<u4").astype(np.int64)
-                if len(f) <= APART:
-                    continue
-                pair = (f[:-APART] << 32) ^ f[APART:]
-                with np.errstate(over="ignore"):
-                    order = mix(pair.view(np.uint64))
-                windows = np.lib.stride_tricks.sliding_window_view(order, min(WINNOW, len(order)))
-                last = windows.shape[1] - 1 - windows[:, ::-1].argmin(axis=1)
-                kept = np.unique(last + np.arange(len(windows)))
-                classes.append(np.full(len(kept), node, np.int64))
-                marks.append(pair[kept])
-                frames.append(kept.astype(np.int32))
-            join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-            yield pa.record_batch(
-                [pa.array(join(classes, np.int64)), pa.array(join(marks, np.int64)), pa.array(join(frames, np.int32))], names=["node", "mark", "frame"]
-            )
-
-
-def _errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Overlap and differing bits of pairs (a, b, offset) with their fingerprints."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 200):
-            part = batch.slice(i, 200)
-            overlaps, errors = [], []
-            for shift, pa_, pb in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True):
-                fa, fb = np.frombuffer(pa_, "<u4"), np.frombuffer(pb, "<u4")
-                low, high = max(0, -shift), min(len(fa), len(fb) - shift)
-                n = max(0, high - low)
-                bits = int(np.bitwise_count(fa[low : low + n] ^ fb[low + shift : low + shift + n]).sum()) if n else 0
-                overlaps.append(n)
-                errors.append(bits / (32 * n) if n else 1.0)
-            yield pa.record_batch(
-                [part.column(0), part.column(1), part.column(2), pa.array(overlaps, pa.int32()), pa.array(errors, pa.float64())],
-                names=["a", "b", "offset", "overlap", "bit_errors"],
-            )
+def _sub_keys(prints: np.ndarray, k: int) -> np.ndarray:
+    """The slot of each frame's k-th sub-key; the last APART frames are paired with others and mean nothing."""
+    wide = prints.astype(np.uint64) * np.uint64((1 << 32) + 1)  # the 32 bits twice: any window is in one piece
+    mask = np.uint64((1 << KEY_BITS) - 1)
+    here = (wide >> np.uint64(32 * k // KEYS)) & mask
+    there = (np.roll(wide, -APART) >> np.uint64((32 * k // KEYS + 16) % 32)) & mask
+    with np.errstate(over="ignore"):
+        return ((((here << np.uint64(KEY_BITS)) | there) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+
+class _Index:
+    """The fingerprints of some queries; for each sub-key their frames in its order, and where each value begins."""
+
+    def __init__(self, nodes: list[int], blobs: list[bytes]):
+        self.nodes = np.array(nodes, np.int64)
+        self.prints, self.owner, self.starts, self.lengths = _joined(blobs)
+        use = _paired(self.owner)
+        self.tables = []
+        for k in range(KEYS):
+            keys = _sub_keys(self.prints, k)[use]
+            begins = np.concatenate(([0], np.cumsum(np.bincount(keys, minlength=1 << SLOTS))))
+            self.tables.append((use[np.argsort(keys, kind="stable")].astype(np.int32), begins.astype(np.int32)))
+
+    def aligned(self, nodes: np.ndarray, blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Aligned pairs with others: a, b, offset, overlap, bit errors."""
+        prints, owner, starts, lengths = _joined(blobs)
+        codes = [np.empty(0, np.int64)]
+        use = _paired(owner)
+        for k, (order, begins) in enumerate(self.tables):
+            keys = _sub_keys(prints, k)
+            many = (begins[keys + 1] - begins[keys]).astype(np.int64)
+            hit = use[many[use] > 0]
+            ends = np.cumsum(many[hit])
+            cuts = np.searchsorted(ends, np.arange(HITS, ends[-1], HITS)) if len(ends) else []
+            for part in np.split(hit, cuts):
+                m = many[part]
+                fb = np.repeat(part, m)
+                fa = order[np.repeat(begins[keys[part]] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+                differ = np.bitwise_count(prints[fb] ^ self.prints[fa]) + np.bitwise_count(prints[fb + APART] ^ self.prints[fa + APART])
+                near = np.flatnonzero(differ <= NEAR)
+                fa, fb = fa[near].astype(np.int64), fb[near]
+                a, b = self.owner[fa], owner[fb]
+                offset = (fb - starts[b]) - (fa - self.starts[a])
+                overlap = np.minimum(self.lengths[a], lengths[b] - offset) - np.maximum(0, -offset)
+                fit = (overlap >= OVERLAP) & (self.nodes[a] != nodes[b])
+                codes.append(np.unique(((a * len(blobs) + b) << 32 | (offset + (1 << 31)))[fit]))
+        code = np.unique(np.concatenate(codes))
+        pair, offset = code >> 32, (code & 0xFFFFFFFF) - (1 << 31)
+        a, b = pair // len(blobs), pair % len(blobs)
+        low = np.maximum(0, -offset)
+        overlap = np.minimum(self.lengths[a], lengths[b] - offset) - low
+        bits = np.zeros(len(code), np.int64)
+        first_a, first_b = self.starts[a] + low, starts[b] + low + offset
+        for i in range(LOOKS):
+            place = overlap * (2 * i + 1) // (2 * LOOKS)
+            bits += np.bitwise_count(self.prints[first_a + place] ^ prints[first_b + place])
+        chosen = np.flatnonzero(bits <= LOOSE * 32 * LOOKS)
+        a, b, pair, offset, low, overlap, code = (x[chosen] for x in (a, b, pair, offset, low, overlap, code))
+        bits = np.zeros(len(code), np.int64)
+        at = 0
+        while at < len(code):
+            n = np.cumsum(overlap[at : at + HITS // OVERLAP])
+            to = at + max(1, int(np.searchsorted(n, HITS, side="right")))
+            n = overlap[at:to]
+            first = np.cumsum(n) - n
+            step = np.arange(n.sum())
+            fa = np.repeat(self.starts[a[at:to]] + low[at:to] - first, n) + step
+            fb = np.repeat(starts[b[at:to]] + low[at:to] + offset[at:to] - first, n) + step
+            bits[at:to] = np.add.reduceat(np.bitwise_count(self.prints[fa] ^ prints[fb]), first, dtype=np.int64)
+            at = to
+        errors = bits / (32 * np.maximum(overlap, 1))
+        good = np.flatnonzero(errors <= ERRORS)
+        good = good[np.lexsort((offset[good], (bits - 32 * overlap)[good], pair[good]))]
+        good = good[np.concatenate(([True], pair[good][1:] != pair[good][:-1]))] if len(good) else good
+        return self.nodes[a[good]], nodes[b[good]], offset[good], overlap[good], errors[good]
+
+
+def _joined(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Fingerprints one after another; the recording of each frame; where each recording begins, and its frames."""
+    lengths = np.array([len(b) // 4 for b in blobs], np.int64)
+    prints = np.frombuffer(b"".join(blobs), "<u4").astype(np.uint32)
+    return prints, np.repeat(np.arange(len(blobs)), lengths), np.cumsum(lengths) - lengths, lengths
+
+
+def _paired(owner: np.ndarray) -> np.ndarray:
+    """Frames whose recording has one APART frames later."""
+    return np.flatnonzero(owner[:-APART] == owner[APART:])
+
+
+_memory: dict = {}
+
+
+def _aligner(sent):
+    """A function for mapInArrow: rows (node, prints) against a broadcast block of queries (nodes, prints)."""
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = sent.value
+        if _memory.get("block") is not block:  # a worker keeps the index of one block
+            _memory.clear()
+            _memory.update(block=block, index=_Index(*block))
+        index = _memory["index"]
+        for batch in batches:
+            nodes, blobs = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            at = 0
+            while at < len(blobs):
+                to, held = at + 1, len(blobs[at]) // 4
+                while to < len(blobs) and to < at + 1000 and held + len(blobs[to]) // 4 <= PART_FRAMES:
+                    held += len(blobs[to]) // 4
+                    to += 1
+                a, b, offset, overlap, errors = index.aligned(nodes[at:to], blobs[at:to])
+                yield pa.record_batch(
+                    [pa.array(a), pa.array(b), pa.array(offset, pa.int32()), pa.array(overlap, pa.int32()), pa.array(errors)],
+                    names=["a", "b", "offset", "overlap", "bit_errors"],
+                )
+                at = to
+
+    return align
+
+
+def _blocks(rows: Iterator) -> Iterator[tuple[list[int], list[bytes]]]:
+    nodes, blobs, held = [], [], 0
+    for node, prints in rows:
+        if held and held + len(prints) // 4 > BLOCK_FRAMES:
+            yield nodes, blobs
+            nodes, blobs, held = [], [], 0
+        nodes.append(node)
+        blobs.append(bytes(prints))
+        held += len(prints) // 4
+    if nodes:
+        yield nodes, blobs
 
 
 def align_recordings(media: DataFrame, queries: F.Column, id_col: str = "id", audio_col: str = "audio") -> DataFrame:
@@ -186,8 +278,10 @@ def align_recordings(media: DataFrame, queries: F.Column, id_col: str = "id", au
 
     Recordings with equal fingerprints are a class; class_id is its smallest id. ``matches``, for recordings of classes
     with a query in them: the other classes aligned with it, as structs (class_id, offset, overlap, bit_errors) in
-    order. Landmarks vote for offsets; the offset with most votes (then the smallest) of a pair of classes is compared
-    bit by bit, and the pair is aligned if the overlap has OVERLAP frames or more and ERRORS of the bits differ at most.
+    order. A pair is aligned at an offset if the overlap has OVERLAP frames or more and ERRORS of its bits differ at most;
+    of several such offsets the one with most equal bits (then the smallest) counts. Candidate offsets come from sub-keys
+    of single fingerprint integers, of every frame on both sides, and each is compared bit by bit. All classes are read
+    once for each BLOCK_FRAMES frames of queries; nothing but aligned pairs is shuffled or written.
 
     Null, empty and unreadable recordings, and those too short for a fingerprint, have no prints, no class_id and no
     matches. Null ids are kept, but a class of null ids alone has no class_id. Repeated rows come back as often as they
@@ -201,17 +295,14 @@ def align_recordings(media: DataFrame, queries: F.Column, id_col: str = "id", au
         F.min("id").alias("class_id"), F.max("q").alias("q"), F.first("prints").alias("prints")
     )
     classes = space.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    marks = space.table(classes.select("node", "prints").mapInArrow(_landmarks, "node long, mark long, frame int"), "marks")
-    wanted = marks.join(classes.where("q").select("node").hint("merge"), "node", "left_semi")
-    left = wanted.select("mark", F.col("node").alias("a"), F.col("frame").alias("fa"))
-    right = marks.select("mark", F.col("node").alias("b"), F.col("frame").alias("fb"))
-    votes = left.join(right.hint("merge"), "mark").where("a <> b").groupBy("a", "b", (F.col("fb") - F.col("fa")).alias("offset")).agg(F.count("*").alias("n"))
-    best = votes.where(F.col("n") >= AGREE).groupBy("a", "b").agg(F.max(F.struct("n", (-F.col("offset")).alias("m"))).alias("v"))
-    pairs = best.select("a", "b", (-F.col("v.m")).alias("offset"))
-    for k in "ab":
-        pairs = pairs.join(classes.select(F.col("node").alias(k), F.col("prints").alias(f"p{k}")).hint("merge"), k)
-    aligned = pairs.select("a", "b", "offset", "pa", "pb").mapInArrow(_errors, "a long, b long, offset int, overlap int, bit_errors double")
-    aligned = aligned.where((F.col("overlap") >= OVERLAP) & (F.col("bit_errors") <= ERRORS))
+    least = 4 * OVERLAP
+    long = classes.where(F.length("prints") >= least).select("node", "prints")
+    form = "a long, b long, offset int, overlap int, bit_errors double"
+    aligned = media.sparkSession.createDataFrame([], form)
+    for block in _blocks(classes.where(F.col("q") & (F.length("prints") >= least)).select("node", "prints").toLocalIterator()):
+        sent = media.sparkSession.sparkContext.broadcast(block)  # bounded by BLOCK_FRAMES
+        aligned = aligned.unionByName(space.table(long.mapInArrow(_aligner(sent), form), "aligned"))
+        sent.unpersist()
     named = aligned.join(classes.select(F.col("node").alias("b"), "class_id").hint("merge"), "b")
     entry = F.struct("class_id", "offset", "overlap", F.round("bit_errors", 6).alias("bit_errors"))
     found = named.groupBy("a").agg(F.array_sort(F.collect_list(entry)).alias("matches"))

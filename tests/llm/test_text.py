@@ -309,6 +309,37 @@ def test_recordings_align(spark):
     assert chroma.align_recordings(spark.createDataFrame([], "id long, audio binary"), lambda i: i % 20 == 0).count() == 0
 
 
+def aligned_by_brute_force(a, b):
+    """The offset with most equal bits (then the smallest) at which the rule holds, or None."""
+    found = []
+    for offset in range(chroma.OVERLAP - len(a), len(b) - chroma.OVERLAP + 1):
+        low, high = max(0, -offset), min(len(a), len(b) - offset)
+        errors = int(np.bitwise_count(a[low:high] ^ b[low + offset : high + offset]).sum())
+        if high - low >= chroma.OVERLAP and errors / (32 * (high - low)) <= chroma.ERRORS:
+            found.append((errors - 32 * (high - low), offset))
+    return min(found)[1] if found else None
+
+
+@pytest.mark.parametrize(("words", "noise", "every"), [(25, 0.1, 0), (60, 0.3, 0), (25, 0.5, 0), (25, 0, 15), (60, 0, 10)])
+def test_noisy_and_edited_recordings_are_found(spark, words, noise, every):
+    rng = np.random.default_rng(words + every)
+    media, truth = {}, {}
+    for i in range(60):
+        tune = rng.integers(0, 36, words)
+        other = tune.copy()
+        if every:
+            other[int(rng.integers(0, every)) :: every] = rng.integers(0, 36)
+        pair = [play(tune), play(other) + rng.normal(0, noise, words * 256).astype(np.float32)]
+        media[20 * i], media[20 * i + 1] = (as_wav(x / 4) for x in pair)
+        a, b = (chroma.fingerprint(chroma.read_wav(media[20 * i + k])) for k in (0, 1))
+        offset = aligned_by_brute_force(a, b)
+        if offset is not None and a.tobytes() != b.tobytes():
+            truth[20 * i] = (20 * i + 1, offset)
+    rows = spark.createDataFrame(list(media.items()), "id long, audio binary").repartition(2)
+    got = {r["id"]: [(m["class_id"], m["offset"]) for m in r["matches"]] for r in chroma.align_recordings(rows, lambda i: i % 20 == 0).collect()}
+    assert len(truth) >= 20 and sum(v in got[k] for k, v in truth.items()) >= 0.9 * len(truth)
+
+
 def test_turns_are_played_alike(spark):
     turns = spark.createDataFrame([(1, 0, "The same words"), (2, 3, "the SAME words"), (3, 0, None)], "conv_id long, turn long, text string")
     got = {r["id"]: r["audio"] for r in chroma.render_turns(turns).collect()}
