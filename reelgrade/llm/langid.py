@@ -18,8 +18,10 @@ ORDER = 4
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
 #: Every CALIBRATE-th sampled document is not fitted on: its cross-entropy sets the language's limit.
 CALIBRATE = 5
-#: Without other languages to compare with, a document is rejected beyond the calibration mean plus so many deviations.
-DEVIATIONS = 8.0
+#: A language's limit is this quantile of what its calibration documents cost, less the slack of their size, times MARGIN.
+QUANTILE, MARGIN = 0.99, 1.25
+#: Calibration documents from which a language has a limit of its own; below, that of all languages holds.
+OWN_LIMIT = 5
 #: Short texts vary more: the limit is wider by this over the root of the text's size.
 SLACK = 4.0
 #: A document's evidence counts as that of so many characters at most, for its score.
@@ -230,17 +232,21 @@ class KneserNey:
     def calibrate(self, texts: pd.DataFrame) -> None:
         """Limits from documents (lang, text) that the model wasn't fitted on.
 
-        A language's limit is what documents of the other languages cost in its model, on average; it is at least
-        what the dearest of its own documents costs, and a twentieth more.
+        A language's limit is what its own documents cost at most, but for a hundredth, less the slack of each one's
+        size, and a quarter more. Languages with few documents share the limit of all documents in their own models.
         """
         cost, size = self.costs(texts["text"].tolist())
-        each = cost / np.maximum(size, 1)[:, None]
-        for li, lang in enumerate(self.languages):
-            own = (texts["lang"] == lang).to_numpy() & (size > 0)
-            other = (texts["lang"] != lang).to_numpy() & (size > 0)
-            if own.sum() >= 5:
-                foreign = each[other, li].mean() if other.any() else each[own, li].mean() + DEVIATIONS * each[own, li].std()
-                self.limits[li] = max(each[own, li].max() * 1.05, foreign)
+        each = cost / np.maximum(size, 1)[:, None] - SLACK / np.sqrt(np.maximum(size, 1))[:, None]
+        at = {lang: li for li, lang in enumerate(self.languages)}
+        place = np.array([at.get(lang, -1) for lang in texts["lang"]], np.int64)
+        usable = (place >= 0) & (size > 0)
+        own = each[np.arange(len(each)), place]
+        if usable.any():
+            self.limits[:] = np.quantile(own[usable], QUANTILE) * MARGIN
+        for li in range(len(self.languages)):
+            mine = own[usable & (place == li)]
+            if len(mine) >= OWN_LIMIT:
+                self.limits[li] = np.quantile(mine, QUANTILE) * MARGIN
 
 
 _memory: dict = {}

@@ -198,6 +198,25 @@ def test_languages_of_documents(spark):
     assert langid.identify_languages(empty, langid.fit_languages(empty)).count() == 0
 
 
+def test_unlearned_languages_are_rejected(spark):
+    words = {
+        "de": "der hund und die katze ist schön über nicht wasser zwischen straße leben kinder".split(),
+        "en": "the cat and other thing with that water between street living children would".split(),
+        "fr": "le chat et les autres choses avec cette eau entre la rue vivre enfants voudrait".split(),
+    }
+    made = lambda k, i: " ".join(random.Random(f"{k}{i}").choices(words[k], k=40))
+    few = [(1000 + i, made("fr", i), "fr") for i in range(12)]
+    docs = [(i, made(k, i), k) for i in range(200) for k in ("de", "en")]
+    asked = [(i, made(k, 5000 + i), k) for i in range(20) for k in words]
+    form = "doc_id long, text string, lang string"
+    asked = spark.createDataFrame(asked, form)
+    model = langid.fit_languages(spark.createDataFrame(docs, form))
+    got = asked.select("lang", langid.language_of(asked, model).alias("x")).select("lang", "x.rejected").collect()
+    assert all(r["rejected"] == (r["lang"] == "fr") for r in got)
+    model = langid.fit_languages(spark.createDataFrame(docs + few, form))
+    assert "fr" in model.languages and np.isfinite(model.limits).all()
+
+
 def test_best_fit_decreasing_against_a_scan():
     rng = random.Random(1)
     for capacity in (7, 16, 100):
