@@ -32,6 +32,7 @@ APART_NAMES = frozenset(
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S
 )
+RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 #: A container stands for its page if it holds this share of what its parent holds.
 SHARE = 0.7
@@ -56,7 +57,7 @@ class Page:
         held, linked = [], 0  # text of the open block, and how much of it is in links
         stack: list[tuple[str, int, bool, bool]] = []  # tag, and what holds inside it: container, apart, link
         inside, apart, link = 0, False, False
-        at, lower = 0, None
+        at = 0
 
         def close() -> None:
             nonlocal held, linked
@@ -104,12 +105,11 @@ class Page:
                         close()
                 continue
             if name in RAW:
-                lower = lower or source.lower()
-                end = lower.find(f"</{name}", at)
-                if end < 0:
+                ends = RAW_END[name].search(source, at)
+                if ends is None:
                     at = len(source) if name in ("script", "style") else at
                 else:
-                    end = source.find(">", end)
+                    end = source.find(">", ends.start())
                     at = len(source) if end < 0 else end + 1
                 continue
             if name in VOID:

@@ -275,6 +275,11 @@ def test_page_text(spark):
     assert htmltext.extract_text(pages.where("false")).count() == 0
 
 
+def test_ends_of_scripts_are_found_after_letters_that_grow():
+    page = f"<p>{'İ' * 20}</p><script>x</SCRIPT><p>First</p><p>Second</p>"
+    assert htmltext.Page(page).text([]) == "İ" * 20 + "\nFirst\nSecond"
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="<>/=\"'&;!-pdiva ", max_size=60))
 def test_any_markup_is_read(text):
