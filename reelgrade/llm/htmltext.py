@@ -29,6 +29,9 @@ APART_NAMES = frozenset(
     "login register comment comments respond replies reply disqus share sharing social related recommended pagination pager search toolbar "
     "copyright widget skip hidden".split()
 )
+#: Parts of names that say what a wrapper has or lacks, and elements that no name sets apart.
+COMPOUND = frozenset("has have is no not with without".split())
+NEVER_NAMED = frozenset("html body main article".split())
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S
 )
@@ -36,6 +39,8 @@ RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 #: A container stands for its page if it holds this share of what its parent holds.
 SHARE = 0.7
+#: An element set apart by its name alone stays in the page if it holds more than this share of the page's text.
+MOST = 0.5
 #: Winning paths that a host keeps, and the share of a page's text that one must hold to be used for it.
 PATHS, USED = 4, 0.5
 #: Hosts up to which the winning paths (some 100 bytes each) are sent to every task; beyond that they are joined.
@@ -45,18 +50,34 @@ SENT_HOSTS = 50_000
 class Page:
     """The blocks of a page outside menus, notices and the like, and the containers that hold them."""
 
-    __slots__ = ("paths", "parents", "blocks")
+    __slots__ = ("paths", "parents", "blocks", "regions", "_named")
 
     def __init__(self, source: str):
         self.paths: list[str] = ["body"]
         self.parents: list[int] = [-1]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters of it in links
+        self.regions: list[int] = [-1]  # elements set apart by name alone, each with the one around it; 0 is the page
+        self._named: list[int] = []  # the region of each block
         self._read(source)
+        self._set_apart()
+
+    def _set_apart(self) -> None:
+        """Drop the blocks in regions that are apart, unless those hold most of the page's text, or all of it."""
+        held = [0.0] * len(self.regions)
+        for (_, text, linked), region in zip(self.blocks, self._named, strict=True):
+            held[region] += max(0, len(text) - 2 * linked)
+        for i in range(len(held) - 1, 0, -1):
+            held[self.regions[i]] += held[i]
+        gone = [False]
+        for i in range(1, len(held)):
+            gone.append(gone[self.regions[i]] or held[i] <= MOST * held[0])
+        kept = [b for b, region in zip(self.blocks, self._named, strict=True) if not gone[region]]
+        self.blocks = kept or self.blocks
 
     def _read(self, source: str) -> None:
         held, linked = [], 0  # text of the open block, and how much of it is in links
-        stack: list[tuple[str, int, bool, bool]] = []  # tag, and what holds inside it: container, apart, link
-        inside, apart, link = 0, False, False
+        stack: list[tuple[str, int, bool, bool, int]] = []  # tag, and what holds inside it: container, apart, link, region
+        inside, apart, link, region = 0, False, False, 0
         at = 0
 
         def close() -> None:
@@ -64,13 +85,14 @@ class Page:
             if held:
                 if text := " ".join("".join(held).split()):
                     self.blocks.append((inside, text, min(linked, len(text))))
+                    self._named.append(region)
                 held, linked = [], 0
 
         def leave(k: int) -> None:
-            nonlocal inside, apart, link
+            nonlocal inside, apart, link, region
             close()
             del stack[k:]
-            _, inside, apart, link = stack[-1] if stack else ("", 0, False, False)
+            _, inside, apart, link, region = stack[-1] if stack else ("", 0, False, False, 0)
 
         def put(text: str) -> None:
             nonlocal linked
@@ -97,6 +119,11 @@ class Page:
                         if name in BLOCKS or name in APART:
                             leave(k)
                         else:
+                            if k == len(stack) - 1:
+                                _, _, apart_, _, region_ = stack[k - 1] if k else ("", 0, False, False, 0)
+                                if (apart_, region_) != (apart, region):
+                                    close()
+                                apart, region = apart_, region_
                             del stack[k]
                             link = any(e[0] == "a" for e in stack)
                         break
@@ -129,23 +156,28 @@ class Page:
                         break
                     if open_ in CONTAINERS or open_ in ("ul", "ol", "table", "blockquote"):
                         break
-            names, hidden = "", False
+            names, hidden, named = "", False, False
             if rest and rest.strip(" /"):
-                names, hidden = self._attributes(rest)
+                names, hidden, named = self._attributes(rest)
             apart = apart or name in APART or hidden
             if name in CONTAINERS and name != "body" and not apart:
                 self.paths.append(f"{self.paths[inside]}/{name}{names}")
                 self.parents.append(inside)
                 inside = len(self.paths) - 1
             link = link or name == "a"
+            if named and not apart and name not in NEVER_NAMED and (not rest.endswith("/") or name in BLOCKS):
+                if name not in BLOCKS:
+                    close()
+                self.regions.append(region)
+                region = len(self.regions) - 1
             if not rest.endswith("/") or name in BLOCKS:
-                stack.append((name, inside, apart, link))
+                stack.append((name, inside, apart, link, region))
         close()
 
     @staticmethod
-    def _attributes(rest: str) -> tuple[str, bool]:
-        """The classes as part of a path, digits as #, and whether the element isn't part of the article."""
-        classes, hidden = [], False
+    def _attributes(rest: str) -> tuple[str, bool, bool]:
+        """The classes as part of a path, digits as #; whether the element is hidden or has such a role; whether its name sets it apart."""
+        classes, hidden, named = [], False, False
         for m in ATTRIBUTE.finditer(rest):
             if m[5]:
                 hidden = True
@@ -153,15 +185,15 @@ class Page:
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
                 words = value.lower().split()
-                if any(not APART_NAMES.isdisjoint(re.split(r"[-_:]+", w)) for w in words):
-                    hidden = True
+                parts = [re.split(r"[-_:]+", w) for w in words]
+                named = named or any(not APART_NAMES.isdisjoint(x) and COMPOUND.isdisjoint(x) for x in parts)
                 if key == "class":
                     classes += words
             elif key == "role" and value.lower() in APART_ROLES or key == "aria-hidden" and value == "true":
                 hidden = True
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 hidden = True
-        return "".join(f".{c}" for c in sorted({re.sub(r"\d+", "#", c) for c in classes})), hidden
+        return "".join(f".{c}" for c in sorted({re.sub(r"\d+", "#", c) for c in classes})), hidden, named
 
     def scores(self) -> list[float]:
         """For each container: the text that it holds, less what is in links."""

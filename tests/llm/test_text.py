@@ -275,6 +275,18 @@ def test_page_text(spark):
     assert htmltext.extract_text(pages.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "wrapper", ['body class="has-sidebar"', 'body class="search-results"', 'div id="main" class="with-sidebar no-comments"', 'article class="post no-related"',
+                'article class="post related"', 'div class="search-results"']
+)
+def test_names_of_wrappers_set_no_article_apart(wrapper):
+    own = "Own words of the article, which are most of the page."
+    page = f'<{wrapper}><p>{own}</p><span class="share">Share</span><div class="comments"><p>Reader says</p></div></{wrapper.split()[0]}>'
+    assert htmltext.Page(page).text([]) == own
+    assert htmltext.Page('<div class="notice"><p>Alone</p></div>').text([]) == "Alone"
+    assert htmltext.Page("<p>Before <span class=share>Share</span> and after").text([]) == "Before\nand after"
+
+
 def test_ends_of_scripts_are_found_after_letters_that_grow():
     page = f"<p>{'İ' * 20}</p><script>x</SCRIPT><p>First</p><p>Second</p>"
     assert htmltext.Page(page).text([]) == "İ" * 20 + "\nFirst\nSecond"
