@@ -353,6 +353,20 @@ def header_cascade(spark, sf_dir):
     return d.select("p_partkey", "h.*")
 
 
+@query(r"""SELECT p_partkey,
+  CASE p_partkey % 3 WHEN 0 THEN CAST(p_partkey AS VARCHAR) WHEN 1 THEN '' ELSE regexp_extract(p_brand, '[0-9]+') END AS scene_no, '' AS period,
+  CASE p_partkey % 3 WHEN 1 THEN 'EXT.' ELSE 'INT.' END AS place_type,
+  CASE WHEN p_partkey % 3 = 2 THEN '' ELSE upper(p_brand) END AS location, CASE p_partkey % 3 WHEN 0 THEN 'ДЕНЬ' WHEN 1 THEN 'НОЧЬ' ELSE '' END AS tod
+FROM (SELECT p_partkey, replace(replace(p_brand, '#', ' '), '-', ' ') AS p_brand FROM part)""")
+def header_forms(spark, sf_dir):
+    """Headings of all parts in three forms (numbered with dots; with a dash; without a time, so that the heuristic takes the number as the scene's) parsed into their parts."""
+    place = F.upper(F.translate("p_brand", "#-", "  "))
+    form = F.col("p_partkey") % 3
+    line = F.when(form == 0, F.concat(F.col("p_partkey").cast("string"), F.lit(". int. "), place, F.lit(". DAY")))
+    line = line.when(form == 1, F.concat(F.lit("EXT. "), place, F.lit(" - night 2"))).otherwise(F.concat(F.lit("int. "), place))
+    return table(spark, sf_dir, "part").select("p_partkey", H.parse_header(line).alias("h")).select("p_partkey", "h.*")
+
+
 # Tags --------------------------------------------------------------------------------------------------------------
 
 _TAGGED = """'a [ep: v=' || s || ', cat=' || c || ', sev=Mild, x] b [EP : p=' || s || '] ' || coalesce(props, '')"""

@@ -45,3 +45,16 @@ def test_stream_of_scenes(spark, tmp_path):
 def test_rejects_by_reason(spark, tmp_path):
     sinks.write_rejects(spark.createDataFrame([("a", 1, "skipped", "x", "x")], "script_id string, scene_index int, reason string, line string, strict string"), str(tmp_path / "r"))
     assert spark.read.parquet(str(tmp_path / "r")).where(F.col("reason") == "skipped").count() == 1
+
+
+def test_headings_of_all_parts_in_three_forms(spark):
+    import duckdb
+
+    from reelgrade.plans import ORACLES, QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    got = sorted(map(tuple, QUERIES["header_forms"](spark, folder).collect()))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet'")
+        assert got == sorted(con.execute(ORACLES["header_forms"]).fetchall())
+        assert len(got) == con.execute("SELECT count(*) FROM part").fetchone()[0]
