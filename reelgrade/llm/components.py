@@ -35,4 +35,5 @@ def connected_components(edges: DataFrame, space: Workspace) -> DataFrame:
         small = down.join(low.hint("merge"), "u").select(F.explode(F.array(
             F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))
         )).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        links = space.table(small, "small")
+        before, links = links, space.table(small, "small")
+        space.drop(before, down)
