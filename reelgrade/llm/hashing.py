@@ -1,13 +1,16 @@
-"""Vectorised 64-bit hashing of words and shingles, over whole buffers with numpy."""
+"""64-bit hashes of words and shingles, and groups of equal pieces, over whole buffers with numpy."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
-MASK = (1 << 64) - 1
-#: Bytes that are hashed in one go; longer texts are cut at spaces, and hashed piece by piece.
-SEGMENT = 1 << 19
 SHINGLE = 5
+#: Words that a worker remembers before it starts anew, and the longest of them in bytes.
+MEMORY_WORDS, MEMORY_BYTES = 400_000, 48
+#: Characters compared at a time; a longer piece is compared alone.
+COMPARED = 1 << 19
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -25,54 +28,28 @@ def stream(seed: int, n: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTE = stream(11, 256)
 _STEP = stream(12, SHINGLE)
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64; the base is odd, so both exist."""
-    size = SEGMENT + 1
-    while size < n:
-        size *= 2
-    if size not in _tables:
-        back = pow(_BASE, -1, 1 << 64)
-        both = []
-        with np.errstate(over="ignore"):
-            for base in (_BASE, back):
-                p = np.full(size, base, dtype=np.uint64)
-                p[0] = 1
-                both.append(np.cumprod(p, dtype=np.uint64))
-        if size > SEGMENT + 1:  # for one huge word: not kept
-            return both[0], both[1]
-        _tables[size] = (both[0], both[1])
-    return _tables[size]
+
+
+class _Words(dict):
+    """The leading 64 bits of each word's BLAKE2b digest: no two words are known that share them."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= MEMORY_BYTES:
+            if len(self) >= MEMORY_WORDS:
+                self.clear()
+            self[word] = found
+        return found
+
+
+_words = _Words()
 
 
 def word_hashes(joined: bytes) -> np.ndarray:
     """A hash for each word of a text whose words are separated by single spaces."""
-    if not joined:
-        return np.empty(0, dtype=np.uint64)
-    out, at, n = [], 0, len(joined)
-    while at < n:
-        end = n if n - at <= SEGMENT else joined.rfind(b" ", at, at + SEGMENT)
-        if end < 0:
-            end = joined.find(b" ", at + SEGMENT)
-            end = n if end < 0 else end
-        b = np.frombuffer(joined, dtype=np.uint8, count=end - at, offset=at)
-        gaps = np.flatnonzero(b == 32)
-        starts = np.concatenate(([0], gaps + 1))
-        ends = np.concatenate((gaps, [len(b)]))
-        power, back = _powers(len(b) + 1)
-        with np.errstate(over="ignore"):
-            acc = np.empty(len(b) + 1, dtype=np.uint64)
-            acc[0] = 0
-            np.cumsum(_BYTE[b] * power[: len(b)], out=acc[1:])
-            h = (acc[ends] - acc[starts]) * back[starts]
-            out.append(mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-        at = end + 1
-    return out[0] if len(out) == 1 else np.concatenate(out)
+    words = joined.split(b" ") if joined else []
+    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 
 
 def shingle_set(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
@@ -91,3 +68,36 @@ def shingle_set(words: np.ndarray, size: int = SHINGLE) -> np.ndarray:
 def words_of(text: str | None) -> bytes:
     """A-Z in lower case, words of ``[^\\x20\\x09-\\x0D]+`` joined by single spaces, as UTF-8."""
     return b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
+
+
+def distinct(points: np.ndarray, start: np.ndarray, stop: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one piece of each kind, and for every piece its kind; pieces are ``points[start:stop]``.
+
+    A hash only proposes: every piece is compared character by character with the one that stands for it.
+    """
+    _, first, kind = np.unique(hashed, return_index=True, return_inverse=True)
+    like, size = first[kind], stop - start
+    other = size != size[like]
+    todo = np.flatnonzero(~other & (like != np.arange(len(like))))
+    for i in todo[size[todo] > COMPARED].tolist():
+        a, b, n = int(start[i]), int(start[like[i]]), int(size[i])
+        other[i] = not np.array_equal(points[a : a + n], points[b : b + n])
+    todo = todo[(size[todo] > 0) & (size[todo] <= COMPARED)]
+    ends = np.cumsum(size[todo])
+    for part in np.split(todo, np.searchsorted(ends, np.arange(COMPARED, ends[-1], COMPARED))) if len(todo) else ():
+        n = size[part]
+        begin = np.cumsum(n) - n
+        step = np.arange(n.sum())
+        unequal = points[np.repeat(start[part] - begin, n) + step] != points[np.repeat(start[like[part]] - begin, n) + step]
+        if unequal.any():
+            other[part] = np.logical_or.reduceat(unequal, begin)
+    if other.any():
+        own: dict[bytes, int] = {}
+        more = []
+        for i in np.flatnonzero(other).tolist():
+            k = own.setdefault(points[start[i] : stop[i]].tobytes(), len(first) + len(own))
+            if k == len(first) + len(more):
+                more.append(i)
+            kind[i] = k
+        first = np.concatenate((first, more))
+    return first, kind

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import mix
+from .hashing import distinct, mix
 from .tokencount import BATCH_CHARS, RESET, PieceCutter, character_classes
 
 #: Tokens of a packed row; tokens that a task gathers before it packs them.
@@ -75,12 +75,14 @@ class TokenIds:
             acc = np.zeros(len(points) + 1, np.uint64)
             np.cumsum(self.salt[points] * self.power[: len(points)], out=acc[1:])
             hashed = (acc[stop] - acc[at]) * self.back[at]
-        hashed[np.searchsorted(at, ends)] = 0
-        keys, first, back = np.unique(hashed, return_index=True, return_inverse=True)
+        mark = np.zeros(len(at), bool)  # the marks between texts are pieces of their own, without tokens
+        mark[np.searchsorted(at, ends)] = True
+        hashed[mark] = 0
+        first, back = distinct(points, at, stop, hashed)
         found, known = [], self.known
-        for key, a, b in zip(keys.tolist(), at[first].tolist(), stop[first].tolist(), strict=True):
+        for none, a, b in zip(mark[first].tolist(), at[first].tolist(), stop[first].tolist(), strict=True):
             piece = joined[a:b]
-            found.append(b"" if key == 0 else known.get(piece) or self._piece(piece))
+            found.append(b"" if none else known.get(piece) or self._piece(piece))
         flat = np.frombuffer(b"".join(found), np.uint32)
         sizes = np.array([len(f) // 4 for f in found], np.int64)
         begin = np.cumsum(sizes) - sizes

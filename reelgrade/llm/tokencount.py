@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import mix
+from .hashing import distinct, mix
 
 # Classes of characters, as the pattern tells them apart.
 LETTER, STMD, R, V, LL, E, NUMBER, OTHER, APOSTROPHE, SPACE, WHITE, RESET = range(12)
@@ -297,7 +297,7 @@ class TokenCounter:
             acc[0] = 0
             np.cumsum(self.salt[points[low:high]] * self.power[: high - low], out=acc[1:])
             hashed = (acc[stop - low] - acc[at - low]) * self.back[at - low]
-        _, first, back = np.unique(hashed, return_index=True, return_inverse=True)
+        first, back = distinct(points, at, stop, hashed)
         known, found = self.known, np.empty(len(first), np.int64)
         if len(known) > MEMORY_PIECES:
             known.clear()
