@@ -11,23 +11,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import mix, stream
+from .hashing import distinct, mix, stream
 
 ORDER = 4
 #: The sample to fit on: so many documents of a language at most, of texts of so many characters at most.
 SAMPLE_DOCS, SAMPLE_CHARS = 400, 20_000
 #: Every CALIBRATE-th sampled document is not fitted on: its cross-entropy sets the language's limit.
 CALIBRATE = 5
-#: A language's limit is this quantile of what its calibration documents cost, less the slack of their size, times MARGIN.
-QUANTILE, MARGIN = 0.99, 1.25
+#: A language's limit is this quantile of what its calibration documents cost, less the slack of their size, times MARGIN
+#: (and, as n documents may miss what is rare, times 1 + 1 / n).
+QUANTILE, MARGIN = 0.99, 1.6
 #: Calibration documents from which a language has a limit of its own; below, that of all languages holds.
 OWN_LIMIT = 5
 #: Short texts vary more: the limit is wider by this over the root of the text's size.
 SLACK = 4.0
 #: A document's evidence counts as that of so many characters at most, for its score.
 EVIDENCE = 50
-#: Characters of a batch of documents; a longer text is scored in parts. Words that a worker remembers.
-BATCH_CHARS, MEMORY_WORDS = 1 << 20, 300_000
+#: Characters of a batch of documents; a longer text is scored in parts. Words that a worker remembers, and the longest of them.
+BATCH_CHARS, MEMORY_WORDS, MEMORY_LETTERS = 1 << 20, 250_000, 40
 START, STOP = 0, 1
 
 _GRAM = stream(31, ORDER)
@@ -173,8 +174,8 @@ class KneserNey:
             at = 0
             while at < len(text):
                 end = at + BATCH_CHARS
-                while end < len(text) and text[end].isalpha() and end < at + 2 * BATCH_CHARS:
-                    end += 1  # a word stays whole (beyond a million letters it is cut)
+                while end < len(text) and text[end].isalpha():
+                    end += 1  # a word stays whole
                 part = text[at:end]
                 if held + len(part) > BATCH_CHARS:
                     flush()
@@ -187,7 +188,8 @@ class KneserNey:
     def _batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lows = [t.lower() for t in texts]
         ends = np.cumsum([len(t) + 1 for t in lows])
-        points = np.frombuffer("\0".join([*lows, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        joined = "\0".join([*lows, ""])
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         a, b = _runs(_letters()[points])
         out = np.zeros((len(texts), len(self.languages)))
         size = np.zeros(len(texts), np.int64)
@@ -198,42 +200,46 @@ class KneserNey:
             power, back = _powers(len(points))
             np.cumsum(mix(points * _POINT) * power, out=acc[1:])
             hashed = (acc[b] - acc[a]) * back[a]
-        keys, first, back_to = np.unique(hashed, return_index=True, return_inverse=True)
-        costs = self._known(keys, points, a[first], b[first])[back_to]
+        first, back_to = distinct(points, a, b, hashed)
+        costs = self._known(joined, points, a[first], b[first])[back_to]
         owner = np.searchsorted(ends, a, side="right")
         for li in range(len(self.languages)):
             out[:, li] = np.bincount(owner, costs[:, li], len(texts))
         size += np.bincount(owner, b - a + 1, len(texts)).astype(np.int64)
         return out, size
 
-    def _known(self, keys: np.ndarray, points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Costs of distinct words, remembered from batch to batch; a worker remembers those of one model only."""
+    def _known(self, joined: str, points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Costs of distinct words, the shorter ones remembered from batch to batch; a worker remembers those of one
+        model only."""
         if _memory.get("model") is not self or len(_memory["rows"]) > MEMORY_WORDS:
             _memory.clear()
             _memory.update(model=self, rows={}, costs=np.empty((0, len(self.languages))))
         rows, held = _memory["rows"], _memory["costs"]
         get = rows.get
-        row = np.array([get(k, -1) for k in keys.tolist()], np.int64)
+        words = [joined[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        row = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         new = np.flatnonzero(row < 0)
+        out = np.empty((len(words), len(self.languages)))
+        out[row >= 0] = held[row[row >= 0]]
         if len(new):
             lengths = b[new] - a[new]
             inside = np.repeat(a[new] - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths) + np.arange(lengths.sum())
-            found = self.word_costs(points[inside].astype(np.uint64), lengths)
+            out[new] = self.word_costs(points[inside].astype(np.uint64), lengths)
+            short = new[lengths <= MEMORY_LETTERS]
             first = len(rows)
-            row[new] = first + np.arange(len(new))
-            rows.update(zip(keys[new].tolist(), row[new].tolist(), strict=True))
+            rows.update(zip([words[i] for i in short.tolist()], range(first, first + len(short)), strict=True))
             if len(rows) > len(held):
                 grown = np.empty((max(2 * len(held), len(rows)), len(self.languages)))
                 grown[:first] = held[:first]
                 held = _memory["costs"] = grown
-            held[first : len(rows)] = found
-        return held[row]
+            held[first : len(rows)] = out[short]
+        return out
 
     def calibrate(self, texts: pd.DataFrame) -> None:
         """Limits from documents (lang, text) that the model wasn't fitted on.
 
         A language's limit is what its own documents cost at most, but for a hundredth, less the slack of each one's
-        size, and a quarter more. Languages with few documents share the limit of all documents in their own models.
+        size, and MARGIN times that. Languages with few documents share the limit of all documents in their own models.
         """
         cost, size = self.costs(texts["text"].tolist())
         each = cost / np.maximum(size, 1)[:, None] - SLACK / np.sqrt(np.maximum(size, 1))[:, None]
@@ -242,11 +248,15 @@ class KneserNey:
         usable = (place >= 0) & (size > 0)
         own = each[np.arange(len(each)), place]
         if usable.any():
-            self.limits[:] = np.quantile(own[usable], QUANTILE) * MARGIN
+            self.limits[:] = _limit(own[usable])
         for li in range(len(self.languages)):
             mine = own[usable & (place == li)]
             if len(mine) >= OWN_LIMIT:
-                self.limits[li] = np.quantile(mine, QUANTILE) * MARGIN
+                self.limits[li] = _limit(mine)
+
+
+def _limit(costs: np.ndarray) -> float:
+    return float(np.quantile(costs, QUANTILE)) * MARGIN * (1 + 1 / len(costs))
 
 
 _memory: dict = {}
