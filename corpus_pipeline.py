@@ -17,27 +17,38 @@ from reelgrade.llm.pieces import encode_pieces, piece_digests
 from reelgrade.llm.store import Workspace
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; null texts, those without letters and those in no learned language go."""
-    judged = docs.withColumn("__language", language_of(docs, fit_languages(docs)))
-    return judged.where(~F.col("__language.rejected")).select(docs.columns)
+    found = _free(docs, "language")
+    judged = docs.withColumn(found, language_of(docs, fit_languages(docs)))
+    return judged.where(~F.col(f"{found}.rejected")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document (the smallest id) of each near-duplicate group; documents without an id stay."""
     kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     once = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)
-    once = once.withColumn("__nth", F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY text)")).where("__nth = 1")
+    nth = _free(docs, "nth")
+    once = once.withColumn(nth, F.expr("row_number() OVER (PARTITION BY doc_id ORDER BY text)")).where(F.col(nth) == 1)
     return once.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
-    keyed = docs.withColumn("__key", key)
+    name = _free(docs, "key")
+    keyed = docs.withColumn(name, key)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = find_contamination(keyed, items, id_col="__key").where("contaminated").select("__key").distinct()
-    return keyed.join(hit.hint("merge"), "__key", "left_anti").select(docs.columns)
+    hit = find_contamination(keyed, items, id_col=name).where("contaminated").select(name).distinct()
+    return keyed.join(hit.hint("merge"), name, "left_anti").select(docs.columns)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
