@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,13 +22,30 @@ def let(value: Column, use) -> Column:
 
 def pattern(p: str) -> str:
     """Fill in <b> (word border) and <w> (word character)."""
+    if starts(p):  # between word characters, a border is what no word character stands next to
+        p = f"(?<!{WORD}){p[3:-3]}(?!{WORD})"
     return p.replace("<b>", BORDER).replace("<w>", WORD)
 
 
+def starts(p: str) -> list[str]:
+    """Of a pattern that is a word, or a group of words and phrases, between borders: the first word of each; else none."""
+    m = re.fullmatch(r"<b>(?:(\w+)|\(([\w <>+|]+)\)(?:<w>[+*])?)<b>", p)
+    each = [m[1]] if m and m[1] else re.sub(r"<w>\+", "", m[2]).split("|") if m else []
+    return [x.split()[0] for x in each] if all(re.fullmatch(r"\w+(?: \w+)*", x) for x in each) else []
+
+
 def quoted(word: str) -> str:
     return "\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+def whole_word(word: str) -> str:
+    """The pattern of a literal between word borders; it begins with the literal, which is found fast."""
+    inside = lambda c: c.isalnum() or c == "_"
+    before = "!" if inside(word[:1]) else "="
+    after = "!" if inside(word[-1:]) else "="
+    return f"{quoted(word)}(?<{before}{WORD}{quoted(word)})(?{after}{WORD})"
+
+
 def strip(x: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+\z", "")

@@ -6,6 +6,8 @@ cost of a large lexicon is one hash lookup for each word.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -36,7 +38,7 @@ def _occurring(low: Column, lexicon: list[Entry]) -> Column:
         *(
             F.struct(
                 F.lit(c).alias("category"), F.lit(i).alias("ord"), F.lit(w).alias("word"), F.lit(x).alias("weight"),
-                F.lit(len(w)).alias("width"), F.lit(X.BORDER + X.quoted(w) + X.BORDER).alias("regex"),
+                F.lit(len(w)).alias("width"), F.lit(X.whole_word(w)).alias("regex"),
             )
             for c, i, w, x in lexicon
         )
@@ -114,7 +116,10 @@ def any_match(low: Column, patterns: Iterable[str]) -> Column:
     """Whether a lower-cased text has a match of any pattern."""
     out = F.lit(False)
     for p in patterns:
-        out = out | low.rlike(X.pattern(p))
+        found = low.rlike(X.pattern(p))
+        if words := X.starts(p):  # most texts have none of them, which is seen without the pattern
+            found = functools.reduce(operator.or_, (F.contains(low, F.lit(w)) for w in words)) & found
+        out = out | found
     return out
 
 

@@ -68,10 +68,11 @@ def per_class() -> Column:
     return F.create_map(*(x for c in CATEGORIES for x in (F.lit(c), entry(c))))
 
 
-def _sums() -> list[Column]:
+def _sums(scene: str | None = None) -> list[Column]:
+    """``scene``: a column that is null in the row of a script without scenes, which has no age."""
     return [
-        F.count("*").alias("count_scenes"),
-        F.max("age_rank").alias("age_rank"),
+        F.count(scene or "*").alias("count_scenes"),
+        F.coalesce(F.max("age_rank"), F.lit(0)).alias("age_rank"),
         *(F.count_if(F.col("age_rank") == i).alias(f"n_{i}") for i in range(1, len(AGES))),
         *(F.count_if(F.col(f"rank_{c}") > 0).alias(f"scenes_{c}") for c in CATEGORIES),
         *(F.sum(F.size(L.of_category(F.col("hits"), c))).alias(f"hits_{c}") for c in CATEGORIES),
@@ -103,27 +104,30 @@ def parents_guide(rated: DataFrame, id_col: str) -> DataFrame:
 
 
 def script_rating(summary: DataFrame, id_col: str) -> DataFrame:
-    return summary.select(id_col, R.age_name(F.coalesce("age_rank", F.lit(0))).alias("rating"))
+    return summary.select(id_col, R.age_name(F.col("age_rank")).alias("rating"))
 
 
 def reports(rated: DataFrame, id_col: str = "script_id", text_col: str = "text") -> DataFrame:
     """One row per script: the nested report (rating, summary, parents_guide, details in the order of scene_index).
 
-    The details of one script meet in one row, as the report is one document.
+    The details of one script meet in one row, as the report is one document. A row without a scene_index stands for a
+    script without scenes: it counts none, and is for all ages.
     """
     header = parse_header(F.col(text_col))
+    there = F.col("scene_index").isNotNull()
+    rated = rated.withColumn("age_rank", F.when(there, F.col("age_rank")))
     detail = rated.withColumn("h", header).select(
         id_col,
         F.struct(
             "scene_index", *(F.col(f"h.{f}").alias(f) for f in FIELDS), per_class().alias("per_class"),
             R.age_name(F.col("age_rank")).alias("scene_rating"), problems(F.col(text_col)).alias("problems"),
         ).alias("detail"),
-        "age_rank", "hits", *(f"rank_{c}" for c in CATEGORIES),
+        "scene_index", "age_rank", "hits", *(f"rank_{c}" for c in CATEGORIES),
     )
     # A map can't be sorted; the scenes' places are, and the details follow them as JSON.
-    gathered = F.collect_list(F.struct(F.col("detail.scene_index").alias("i"), F.to_json("detail").alias("d"))).alias("ds")
+    gathered = F.collect_list(F.when(there, F.struct(F.col("scene_index").alias("i"), F.to_json("detail").alias("d")))).alias("ds")
     kind = detail.schema["detail"].dataType.simpleString()
-    s = detail.groupBy(id_col).agg(*_sums(), gathered)
+    s = detail.groupBy(id_col).agg(*_sums("scene_index"), gathered)
     s = s.withColumn("details", F.transform(F.array_sort("ds"), lambda x: F.from_json(x["d"], kind)))
     guide = F.create_map(
         *(

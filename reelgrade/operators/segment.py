@@ -41,6 +41,11 @@ def counted_headings(text: Column) -> Column:
     return F.transform(found, X.strip)
 
 
+def first_of_script(text: Column, n: int = 10) -> Column:
+    """What the diagnostic shows of a script: its first n headings, and the first n scenes of the older splitter."""
+    return F.struct(F.slice(counted_headings(text), 1, n).alias("headings"), F.slice(older_scenes(text), 1, n).alias("scenes"))
+
+
 def marker_scenes(text: Column) -> Column:
     """The older rating's scenes: they open at a marker anywhere, or at its word before any; four words at least."""
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), f"(?iU)({MARKERS})", "\u0001$1\u0002")
@@ -54,9 +59,10 @@ def line_scenes(text: Column, verbs=ACTION_VERBS) -> Column:
     return keep_scenes(F.split(F.coalesce(text, F.lit("")), "\n", -1), verbs)
 
 
-def explode_scenes(scripts: DataFrame, parts: Column, id_col: str = "script_id") -> DataFrame:
-    """One row per scene, numbered from 1 within its script."""
-    return scripts.select(id_col, F.posexplode(parts).alias("pos", "text")).select(id_col, (F.col("pos") + 1).alias("scene_index"), "text")
+def explode_scenes(scripts: DataFrame, parts: Column, id_col: str = "script_id", outer: bool = False) -> DataFrame:
+    """One row per scene, numbered from 1 within its script. ``outer``: without scenes, one row without number and text."""
+    each = F.posexplode_outer if outer else F.posexplode
+    return scripts.select(id_col, each(parts).alias("pos", "text")).select(id_col, (F.col("pos") + 1).alias("scene_index"), "text")
 
 
 def window_starts(n: Column, length: int = SCENE_WINDOW, stride: int = SCENE_STRIDE, most: int | None = None) -> Column:

@@ -62,35 +62,54 @@ def episode_features(text: Column) -> Column:
 
     A tag that names a category by its short key and by ``cat=`` counts twice.
     """
-    tags = F.transform(episode_payloads(text), fields)
-    largest, count = [], []
-    for c in CATEGORIES:
-        each = _category_values(tags, c)
-        largest.append(F.coalesce(F.array_max(each), F.lit(0.0)))
-        count.append(F.size(each).cast("double"))
-    return F.array(*largest, *count)
+    def both(tags: Column) -> Column:
+        return F.array(*(X.let(_category_values(tags, c), lambda v: F.struct(F.coalesce(F.array_max(v), F.lit(0.0)).alias("m"), F.size(v).cast("double").alias("n"))) for c in CATEGORIES))
+
+    each = X.let(F.transform(episode_payloads(text), fields), both)
+    return X.let(each, lambda e: F.concat(F.transform(e, lambda x: x["m"]), F.transform(e, lambda x: x["n"])))
 
 
 def _category_values(tags: Column, category: str) -> Column:
     return F.filter(F.flatten(F.transform(tags, lambda t: _found(t, category))), lambda v: v.isNotNull())
 
 
+def _contexts(text: Column, radius: int) -> Column:
+    """For each tag of a text, the characters up to ``radius`` before and after its start.
+
+    The text is cut at the tags. As a tag has six characters at least, the characters near it stand in a bounded number
+    of pieces next to it, of which the ends suffice: the cost is linear in the number of tags.
+    """
+    near = radius // 6 + 2
+
+    def found(t: Column) -> Column:
+        parts, tags = t["parts"], t["tags"]
+        n = F.size(tags)
+        whole = F.zip_with(F.slice(parts, F.lit(1), n), tags, lambda p, m: F.concat(p, m))
+        rest = F.concat(whole, F.slice(parts, n + 1, F.lit(1)))
+        ends = F.transform(whole, lambda x: F.right(x, F.lit(radius)))
+        begins = F.transform(rest, lambda x: F.left(x, F.lit(radius)))
+
+        def one(m: Column, i: Column) -> Column:
+            low = F.greatest(i - near, F.lit(0))
+            before = F.concat(F.array_join(F.slice(ends, low + 1, i - low), ""), F.get(parts, i))
+            after = F.concat(m, F.array_join(F.slice(begins, i + 2, F.lit(near)), ""))
+            return F.concat(F.right(before, F.lit(radius)), F.left(after, F.lit(radius)))
+
+        return F.transform(tags, one)
+
+    cut = F.struct(F.split(text, EPISODE, -1).alias("parts"), F.regexp_extract_all(text, F.lit(EPISODE), F.lit(0)).alias("tags"))
+    return X.let(cut, found)
+
+
 def episode_rows(texts: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """One row per tag: id, tag (from 0), text (the characters around it), a flag, a severity and its number by category.
 
     ``cat=`` overrules the short key. A severity that no table knows has a null number.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    parts, all_ = F.split(text, EPISODE, -1), F.regexp_extract_all(text, F.lit(EPISODE), F.lit(0))
-    starts = F.aggregate(
-        F.zip_with(F.slice(parts, F.lit(1), F.size(all_)), all_, lambda p, m: F.struct(F.length(p).alias("p"), F.length(m).alias("m"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")),
-        lambda s, x: F.struct((s["at"] + x["p"] + x["m"]).alias("at"), F.array_append(s["found"], s["at"] + x["p"]).alias("found")),
-        lambda s: s["found"],
-    )
-    tags = F.arrays_zip(starts.alias("start"), episode_payloads(text).alias("payload"))
-    rows = texts.select(F.col(id_col), text.alias("whole"), F.posexplode(tags).alias("tag", "t"))
-    rows = rows.select(id_col, "tag", "whole", F.col("t.start").alias("start"), fields(F.col("t.payload")).alias("f"))
+    tags = F.arrays_zip(_contexts(text, EPISODE_CONTEXT).alias("near"), episode_payloads(text).alias("payload"))
+    rows = texts.select(F.col(id_col), F.posexplode(tags).alias("tag", "t"))
+    rows = rows.select(id_col, "tag", X.strip(F.col("t.near")).alias("text"), fields(F.col("t.payload")).alias("f"))
     pairs = F.col("f")
     flags, words = {}, {}
     for short, c in SHORT_CATEGORIES.items():
@@ -102,7 +121,7 @@ def episode_rows(texts: DataFrame, id_col: str, text_col: str = "text") -> DataF
     number = lambda x: X.mapped(x, {k: str(v) for k, v in SEVERITY_NUMBER.items()}, F.lit(None).cast("string")).cast("double")
     return rows.select(
         id_col, "tag",
-        X.strip(X.around(F.col("whole"), F.col("start"), F.col("start"), EPISODE_CONTEXT)).alias("text"),
+        "text",
         *(flags[c].alias(c) for c in CATEGORIES),
         *(words[c].alias(f"sev_{c}") for c in CATEGORIES),
         *(number(words[c]).alias(f"sev_{c}_num") for c in CATEGORIES),

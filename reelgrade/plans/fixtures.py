@@ -1,5 +1,7 @@
 """Parameters of the registered queries: the public tables are in Latin script, so the Russian defaults would hit nothing."""
 
+from ..operators.models import Head
+
 #: (category, ord, word, weight)
 LEXICON = [
     ("violence", 0, "the", 1.2), ("violence", 1, "of", 0.8), ("sexual", 0, "de", 1.0), ("profanity", 0, "and", 1.6),
@@ -19,8 +21,8 @@ OVERRIDES = (
 VERBS = ("the", "de", "la", "und")
 
 
-def head(width: int, shift: int) -> tuple[list[float], float, list[float], float]:
-    """Fixed weights and biases of a head."""
+def head(width: int, shift: int) -> dict[str, Head]:
+    """Fixed heads of a category."""
     w = [(((i * 7 + shift) % 11) - 5) / 10 for i in range(width)]
     u = [(((i * 3 + shift) % 7) - 3) / 10 for i in range(width)]
-    return w, shift / 10, u, 0.4
+    return {"bin": Head("logistic", w, shift / 10), "sev": Head("ridge", u, 0.4)}

@@ -239,20 +239,6 @@ def fused_severity(spark, sf_dir):
     return d.select("doc_id", F.explode(F.array(*rows)).alias("r")).select("doc_id", "r.*")
 
 
-@query()
-def script_reports(spark, sf_dir):
-    """Whole reports of conversations as JSON, each turn a scene."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).cast("int").alias("scene_index"), "text")
-    made = Q.reports(Q.rate_scenes(turns, lexicon=P.LEXICON, overrides=P.OVERRIDES), "conv_id")
-    return made.select("conv_id", F.to_json("report").alias("report"))
-
-
-@query()
-def scene_checks(spark, sf_dir):
-    """The single-scene check of every turn, as JSON."""
-    return _turns(spark, sf_dir).select("conv_id", "turn", Q.scene_check().alias("result"))
-
-
 @query()
 def document_scripts(spark, sf_dir):
     """Documents as scripts with headings put before their lines: normalised, split, parsed, rated and reported."""
@@ -338,21 +324,6 @@ def canonical_maps(spark, sf_dir):
     )
 
 
-@query(r"""SELECT p_partkey,
-  CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE '' END AS scene_no, '' AS period,
-  CASE p_partkey % 3 WHEN 0 THEN 'INT.' WHEN 1 THEN 'EXT.' ELSE 'INT.' END AS place_type,
-  upper(p_brand) AS location, CASE p_partkey % 3 WHEN 0 THEN 'ДЕНЬ' WHEN 1 THEN 'НОЧЬ' ELSE '' END AS tod
-FROM (SELECT p_partkey, replace(replace(p_brand, '#', ' '), '-', ' ') AS p_brand FROM part) WHERE p_partkey % 3 < 2""")
-def header_cascade(spark, sf_dir):
-    """Headings in two forms (numbered with dots; unnumbered with a dash) parsed into their parts."""
-    place = F.upper(F.translate("p_brand", "#-", "  "))
-    line = F.when(
-        F.col("p_partkey") % 3 == 0, F.concat(F.col("p_partkey").cast("string"), F.lit(". int. "), place, F.lit(". DAY"))
-    ).otherwise(F.concat(F.lit("EXT. "), place, F.lit(" - night 2")))
-    d = table(spark, sf_dir, "part").where("p_partkey % 3 < 2").select("p_partkey", H.parse_header(line).alias("h"))
-    return d.select("p_partkey", "h.*")
-
-
 @query(r"""SELECT p_partkey,
   CASE p_partkey % 3 WHEN 0 THEN CAST(p_partkey AS VARCHAR) WHEN 1 THEN '' ELSE regexp_extract(p_brand, '[0-9]+') END AS scene_no, '' AS period,
   CASE p_partkey % 3 WHEN 1 THEN 'EXT.' ELSE 'INT.' END AS place_type,
@@ -518,7 +489,7 @@ def _dot_sql(weights: list[float]) -> str:
 
 _SCORED = " UNION ALL ".join(
     f"SELECT label, vec_id, '{c}' AS category, 1.0 / (1.0 + exp(-({_dot_sql(w)} + {b}::DOUBLE))) AS bin, least(1.0, greatest(0.0, {_dot_sql(u)} + {v}::DOUBLE)) AS sev FROM embeddings"
-    for c, (w, b, u, v) in _heads().items()
+    for c, (w, b, u, v) in ((c, (*h["bin"][1:], *h["sev"][1:])) for c, h in _heads().items())
 )
 
 
@@ -552,12 +523,32 @@ def ordinal_alignment(spark, sf_dir):
     return d.join(labels, "doc_id", "left").select("doc_id", state.alias("state"), "quality")
 
 
-@query("SELECT doc_id, quality, ('0x' || substr(md5(doc_id || '|42'), 1, 8))::BIGINT < 3435973836 AS train FROM labels")
-def stratified_split(spark, sf_dir):
-    """Which labelled documents are for training."""
+_HASH = "('0x' || substr(md5(doc_id || '|42'), 1, 8))::BIGINT"
+
+
+@query(f"SELECT doc_id, quality, {_HASH} < 3435973836 AS train FROM labels")
+def hashed_split(spark, sf_dir):
+    """Which labelled documents are for training, by their hash alone."""
     return table(spark, sf_dir, "labels").select("doc_id", "quality", M.in_training(F.col("doc_id")).alias("train"))
 
 
+@query(f"""WITH r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {_HASH}, doc_id) AS place, count(*) OVER (PARTITION BY quality) AS n FROM labels)
+SELECT doc_id, quality, place <= CASE WHEN n > 1 THEN least(n - 1, greatest(1, floor(n * 0.8::DOUBLE + 0.5))) ELSE 1 END AS train FROM r""")
+def stratified_split(spark, sf_dir):
+    """Which labelled documents are for training: four fifths of each class."""
+    return M.stratified_split(table(spark, sf_dir, "labels"), "doc_id", "quality").select("doc_id", "quality", "train")
+
+
+@query("""WITH x AS (SELECT 'quality' AS label, quality AS y, doc_id FROM labels UNION ALL SELECT 'toxic', toxic, doc_id FROM labels UNION ALL SELECT 'first', CASE WHEN doc_id = 0 THEN 1 ELSE 0 END, doc_id FROM labels),
+c AS (SELECT label, CAST(y AS INTEGER) AS y, count(*) AS n FROM x GROUP BY ALL)
+SELECT label, count(*) AS classes, min(n) AS least, count(*) = 2 AND min(n) >= 2 AS balanced FROM c GROUP BY label""")
+def balance_tests(spark, sf_dir):
+    """Whether labels have two classes of two rows at least; one that a single row has is among them."""
+    rows = table(spark, sf_dir, "labels").withColumn("first", (F.col("doc_id") == 0).cast("int"))
+    made = [M.balance_test(rows, c).select(F.lit(c).alias("label"), "classes", "least", "balanced") for c in ("quality", "toxic", "first")]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
 @query("SELECT CAST(quality AS INTEGER) AS label, count(*) AS n FROM labels GROUP BY quality")
 def class_balance(spark, sf_dir):
     """Labels by class."""
@@ -574,6 +565,15 @@ def class_metrics(spark, sf_dir):
     return m.select("class", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "support")
 
 
+@query("""SELECT (SELECT min(toxic) FROM labels WHERE toxic = 0) AS class, round(avg(CASE WHEN quality = toxic THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy,
+  round((SELECT avg(toxic::DOUBLE) FROM labels WHERE quality = 1), 6) AS positive_rate_train FROM labels WHERE toxic = 0""")
+def one_class_metrics(spark, sf_dir):
+    """Accuracy and the training rows' positive rate, where the rows held out have one class."""
+    rows = table(spark, sf_dir, "labels")
+    made = M.report(rows.where("quality = 1"), rows.where("toxic = 0"), "toxic", "quality")
+    return made.select("class", F.round("accuracy", 6).alias("accuracy"), F.round("positive_rate_train", 6).alias("positive_rate_train"))
+
+
 @query()
 def ridge_fit(spark, sf_dir):
     """Coefficients of a ridge regression of labels on vectors."""

@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows dealt to all cores if they come in fewer parts than that (one small file is one task, however slow the rest
+    """Rows dealt to all cores if they come in fewer files than that (one small file is one task, however slow the rest
     of the row's work). A table of many files is left as it is read: no shuffle."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() <= cores else rows
+    return rows.repartition(cores) if len(rows.inputFiles()) <= cores else rows

@@ -41,35 +41,39 @@ def docx_paragraphs(blob: bytes) -> list[str]:
     return out
 
 
-def pdf_pages(blob: bytes) -> list[str]:
-    """The pages' texts; needs the optional package pdfplumber on the executors."""
+def pdf_pages(blob: bytes, strict: bool = False) -> list[str]:
+    """The pages' texts; needs the optional package pdfplumber on the executors. A page without text is empty, or, if
+    ``strict``, an error, as for the older reader."""
     import pdfplumber
 
     with pdfplumber.open(io.BytesIO(blob)) as pdf:
-        return [(page.extract_text() or "") for page in pdf.pages]
+        found = [page.extract_text() for page in pdf.pages]
+    if strict and None in found:
+        raise ValueError(f"page {found.index(None) + 1} has no text")
+    return [text or "" for text in found]
 
 
-def _lines_of(reader):
+def _lines_of(reader, **options):
     @F.pandas_udf("array<string>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield part.map(lambda b: reader(bytes(b)))
+            yield part.map(lambda b: reader(bytes(b), **options))
 
     return run
 
 
-def read_scripts(spark: SparkSession, path: str, clean: str = "rating", case_sensitive: bool = False) -> DataFrame:
+def read_scripts(spark: SparkSession, path: str, clean: str = "rating", older: bool = False) -> DataFrame:
     """(script_id, text) of every file under ``path``: .docx, .pdf, and anything else as text.
 
     ``clean`` is what is done to DOCX texts: ``rating`` (marks and cast lines go), ``labels`` (label texts' cleanup,
-    then headings) or ``none``. Each format is read by its own plan: text files never leave the JVM.
+    then headings) or ``none``. ``older``: suffixes in lower case only, and a PDF page without text fails. Each format is read by its own plan: text files never leave the JVM. A file without a single byte gives no row, as Spark's readers skip it.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    name = F.col("path") if case_sensitive else F.lower("path")
+    name = F.col("path") if older else F.lower("path")
     docx, pdf = name.endswith(".docx"), name.endswith(".pdf")
     paragraphs = files.where(docx).withColumn("lines", _lines_of(docx_paragraphs)(F.col("content")))
     joined = N.clean_paragraphs(F.col("lines")) if clean == "rating" else F.array_join("lines", "\n")
-    pages = files.where(pdf).withColumn("lines", _lines_of(pdf_pages)(F.col("content")))
+    pages = files.where(pdf).withColumn("lines", _lines_of(pdf_pages, strict=older)(F.col("content")))
     whole = F.concat(F.array_join("lines", "\n"), F.when(F.size("lines") > 0, "\n").otherwise(""))
     parts = [
         files.where(~docx & ~pdf).select(F.col("path").alias("script_id"), decoded(F.col("content")).alias("text")),
@@ -111,7 +115,7 @@ def read_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     rows = lines.select("category", "line", word.alias("word"), weight.alias("weight"))
     last = rows.groupBy("category", "word").agg(F.max_by("weight", "line").alias("weight"))
     place = (F.expr("row_number() OVER (PARTITION BY category ORDER BY line)") - 1).alias("ord")
-    return rows.select("category", "line", "word", place).join(F.broadcast(last), ["category", "word"]).select("category", "ord", "word", "weight")
+    return rows.select("category", "line", "word", place).join(last, ["category", "word"]).select("category", "ord", "word", "weight")
 
 
 def lexicon_entries(lexicon: DataFrame) -> list[tuple[str, int, str, float]]:

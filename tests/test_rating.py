@@ -27,6 +27,9 @@ SCRIPT = """СЦЕНА 1. КВАРТИРА. НОЧЬ
 """
 
 
+CATS = ("violence", "sexual", "profanity", "alcohol_drugs", "scary")
+
+
 def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values)).select(column.alias("v")).first()["v"]
 
@@ -65,7 +68,10 @@ def test_script_end_to_end(spark):
     texts = spark.createDataFrame([("a", SCRIPT), ("b", ""), ("c", None)], "script_id string, text string")
     reports = {r["script_id"]: r["report"] for r in pipelines.rate_scripts(texts).collect()}
     a = reports["a"]
-    assert set(reports) == {"a"}  # scripts without scenes have no report
+    assert set(reports) == {"a", "b", "c"}
+    for empty in (reports["b"], reports["c"]):
+        assert empty["rating"] == "0+" and empty["details"] == [] and set(empty["summary"]["scene_ratings"].values()) == {0}
+        assert empty["summary"]["count_scenes"] == 0 and empty["parents_guide"]["scary"].asDict() == {"percentage_scenes": 0.0, "episodes_total": 0}
     assert a["rating"] == "6+" and a["summary"]["count_scenes"] == 3
     assert a["summary"]["scene_ratings"] == {"6+": 3, "12+": 0, "16+": 0, "18+": 0}
     assert a["parents_guide"]["violence"].asDict() == {"percentage_scenes": 33.33, "episodes_total": 2}
@@ -142,9 +148,73 @@ def test_scene_vectors(spark):
 def test_features_have_their_width(spark):
     scenes = spark.createDataFrame([("a", 1, "слово " * 600), ("a", 2, "нож [ep: v=mild]")], "script_id string, scene_index int, text string")
     tokens = F.transform(F.split("text", " "), lambda w: (F.crc32(w) % 1000).cast("int"))
-    heads = {c: ([0.1] * 8, 0.0, [0.1] * 8, 0.0) for c in ("violence", "sexual", "profanity", "alcohol_drugs", "scary")}
+    heads = {c: {"bin": M.Head("logistic", [0.1] * 8, 0.0), "sev": M.Head("ridge", [0.1] * 8, 0.0)} for c in CATS}
     made = pipelines.make_features(scenes, tokens, lambda: W.hashing_encoder(8), heads).collect()
     assert {len(r["x"]) for r in made} == {3 * 8 + 45} and len(W.feature_columns(8)) == 3 * 8 + 45
+    names = W.feature_columns(8)
+    for r in made:  # the largest episode probability is one of the features
+        assert all(r[f"episode_{c}"] == r["x"][names.index(f"{c}_bin_max")] for c in CATS)
+
+
+def test_vectors_are_kept(spark, tmp_path):
+    scenes = spark.createDataFrame([("a", 1, "слово " * 600), ("a", 2, "нож"), ("b", 1, "нож"), ("b", 2, None)], "script_id string, scene_index int, text string")
+    calls = []
+
+    def compute(new):
+        calls.append(sorted(r["text"] or "" for r in new.collect()))
+        return new.select("key", F.array(F.length(F.coalesce("text", F.lit(""))).cast("double")).alias("vector"))
+
+    path = str(tmp_path / "vectors")
+    first = W.cached_vectors(scenes.where("scene_index = 1"), "text", path, compute, 384, 320).collect()
+    both = W.cached_vectors(scenes, "text", path, compute, 384, 320).collect()
+    assert calls == [["нож", "слово " * 600], [""]] and len(first) == 2
+    assert {(r["script_id"], r["scene_index"]): r["vector"] for r in both} == {("a", 1): [3600.0], ("a", 2): [3.0], ("b", 1): [3.0], ("b", 2): [0.0]}
+    heads = {c: {"bin": M.Head("constant", [], 0.25), "sev": M.Head("constant", [], 2.0)} for c in CATS}
+    tokens = F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda w: (F.crc32(w) % 1000).cast("int"))
+    plain = pipelines.make_features(scenes, tokens, lambda: W.hashing_encoder(4), heads)
+    kept = pipelines.make_features(scenes, tokens, lambda: W.hashing_encoder(4), heads, cache=str(tmp_path / "own"))
+    key = lambda r: (r["script_id"], r["scene_index"])
+    assert sorted(plain.collect(), key=key) == sorted(kept.collect(), key=key)
+
+
+def test_masked_means_and_model_sessions():
+    import numpy as np
+
+    class Session:  # stands in for a transformer: a token's vector is its id and the id's double
+        def run(self, _, fed):
+            assert fed["input_ids"].shape == fed["attention_mask"].shape
+            return [np.stack([fed["input_ids"], 2 * fed["input_ids"]], axis=2).astype(np.float32)]
+
+    got = W.session_encoder(Session(), pad=99)([[1, 3], [5], []])
+    assert got.tolist() == [[2.0, 4.0], [5.0, 10.0], [0.0, 0.0]]
+
+
+def test_scripts_are_rated_with_saved_heads(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("ИНТ. ДОМ - НОЧЬ\nТихо и очень спокойно тут сегодня\nИНТ. САД - ДЕНЬ\nТут кровь и труп лежит на полу\n", encoding="utf-8")
+    (tmp_path / "in" / "b.txt").write_text("\n", encoding="utf-8")
+    tokens = lambda t: F.transform(F.split(F.coalesce(t, F.lit("")), " "), lambda w: (F.crc32(w) % 1000).cast("int"))
+    M.save_heads(spark, {c: {"bin": M.Head("constant", [], 0.5), "sev": M.Head("ridge", [0.1] * 4, 0.2)} for c in CATS}, str(tmp_path / "episodes"))
+    M.save_heads(spark, {c: M.Head("constant", [], 1.0) if c == "scary" else 0.0 for c in CATS}, str(tmp_path / "scenes"))
+    for heads, scary in ((str(tmp_path / "scenes"), 0.55 + 0.1), (str(tmp_path / "none"), 0.1), (None, 0.1)):
+        pipelines.analyze_scripts(spark, str(tmp_path / "in"), str(tmp_path / "out"), heads, str(tmp_path / "episodes"), tokens, lambda: W.hashing_encoder(4))
+        reports = sorted((json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()), key=lambda r: r["rating"])
+        assert reports[0]["rating"] == "0+" and reports[0]["details"] == []
+        first = reports[1]["details"][0]["per_class"]["scary"]
+        assert first["episode_max"] == 0.5 and round(first["final_proba"], 6) == round(scary, 6)
+    with pytest.raises(FileNotFoundError):
+        pipelines.analyze_scripts(spark, str(tmp_path / "in"), str(tmp_path / "out"), None, str(tmp_path / "none"), tokens, lambda: W.hashing_encoder(4))
+
+
+def test_splits_by_class(spark):
+    rows = spark.createDataFrame([(i, 0 if i < 90 else 1 if i < 98 else 2 if i < 99 else None, "x") for i in range(100)], "id long, y int, train string")
+    got = M.stratified_split(rows, "id", "y", out="t").groupBy("y", "t").count().collect()
+    assert {(r["y"], r["t"]): r["count"] for r in got} == {(0, True): 72, (0, False): 18, (1, True): 6, (1, False): 2, (2, True): 1, (None, True): 1}
+    assert M.stratified_split(rows, "id", None, out="t").where("t").count() == 80
+    assert M.stratified_split(rows.where("y = 1").limit(2), "id", "y", out="t").where("t").count() == 1
+    assert M.stratified_split(rows.where("false"), "id", "y", out="t").count() == 0
+    two = rows.where("y IN (0, 1)")
+    assert M.split_for(two.drop("train"), "id", "y", least=2).where("NOT train AND y = 1").count() == 2
 
 
 def test_heads(spark):
@@ -194,8 +264,62 @@ def test_training_programs(spark, tmp_path):
     assert set(heads) == set(cats) and judged["scary"].count() == 2
     scored = pipelines.apply_heads(made.select("scene_index", "x"), heads)
     assert scored.where("(proba_violence > 0.5) = (scene_index > 30)").count() == 60
-    M.save_head(heads["scary"], str(tmp_path / "h"))
-    assert M.load_head(str(tmp_path / "h")).coefficients == heads["scary"].coefficients and M.load_head(str(tmp_path / "none")) is None
+    heads["sexual"] = 0.0  # what a category with one class has
+    M.save_heads(spark, heads, str(tmp_path / "h"))
+    loaded = M.load_heads(spark, str(tmp_path / "h"))
+    assert loaded["scary"]["bin"] == M.head_of(heads["scary"]) and loaded["sexual"]["bin"] == M.Head("constant", [], 0.0)
+    assert M.load_heads(spark, str(tmp_path / "none")) is None
+    again = pipelines.apply_heads(made.select("scene_index", "x"), loaded)
+    assert again.where("proba_sexual = 0 AND (proba_violence > 0.5) = (scene_index > 30)").count() == 60
+    pipelines.write_feature_files(made.select("script_id", "scene_index", "x"), made.drop("x"), str(tmp_path / "f"))
+    assert spark.read.parquet(str(tmp_path / "f")).columns == ["script_id", "scene_index", "x", *(f"has_{c}" for c in cats)]
+
+
+def test_probabilities_are_the_fitted_models(spark):
+    rows = spark.createDataFrame([([float(i % 5), float(i)], int(i > 10), i / 20) for i in range(20)], "vector array<double>, y int, s double")
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    fed = rows.withColumn("features", array_to_vector("vector"))
+    model = M.fit_logistic(rows, "y")
+    p = model.transform(fed).select(vector_to_array("probability")[1].alias("p"), M.head_value(model, F.col("vector")).alias("q"))
+    assert p.where("abs(p - q) > 1e-12").count() == 0
+    model = M.fit_ridge(rows, "s")
+    v = model.transform(fed).select(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "prediction")).alias("p"), M.head_value(model, F.col("vector")).alias("q"))
+    assert v.where("abs(p - q) > 1e-12").count() == 0
+
+
+def test_episode_training(spark, tmp_path):
+    from reelgrade.sources import scripts, sinks
+
+    rows = [(f"{'кровь нож' if i % 2 else 'сад цветы'} {i}", *[i % 2] * 4, 0, *["Mild"] * 5, *[(i % 3) / 3] * 4, 0.5) for i in range(40)] + [(None, *[0] * 5, *["None"] * 5, *[0.0] * 4, 0.5)]
+    sinks.write_csv(spark.createDataFrame(rows, scripts.EPISODES_SCHEMA), str(tmp_path / "episodes"))
+    tokens = lambda t: F.transform(F.split(t, " "), lambda w: (F.crc32(w) % 1000).cast("int"))
+    judged = pipelines.train_episode_files(spark, str(tmp_path / "episodes"), str(tmp_path / "heads"), tokens, lambda: W.hashing_encoder(8))
+    heads = M.load_heads(spark, str(tmp_path / "heads"))
+    assert heads["scary"] == {"bin": M.Head("constant", [], 0.0), "sev": M.Head("constant", [], 0.5)} and heads["violence"]["sev"].kind == "ridge"
+    assert judged["violence"].count() == 2 and judged["scary"].first()["accuracy"] == 1.0
+
+
+def test_borders_of_fast_patterns(spark):
+    words = ["половой акт", "«дать дорожку»", "a_b", "x"]
+    texts = ["половой акт.", "1половой акт", "половой акты", "«дать дорожку»", "ю«дать дорожку»я", "«дать дорожку» «дать дорожку»", "a_b a_bc xa_b", "x x-x xx"]
+    import re
+
+    for w in words:
+        fast, plain = X.whole_word(w), X.BORDER + X.quoted(w) + X.BORDER
+        for t in texts:
+            a, b = (one(spark, F.size(F.regexp_extract_all(F.col("t"), F.lit(r), F.lit(0))).cast("string"), t=t) for r in (fast, plain))
+            assert a == b == str(len(re.findall(rf"\b{re.escape(w)}\b", t))), (w, t)
+    assert X.starts("<b>(кайф|оргазм от)<b>") == ["кайф", "оргазм"] and X.starts("<b>(a|b)c") == [] and X.starts("<b>(еб[ао]н|x)<w>*<b>") == []
+
+
+def test_tags_near_one_another(spark):
+    text = "я" * 250 + "".join(f"[ep: v=mild, n{i}] и {i} " for i in range(60)) + "z" * 300
+    rows = T.episode_rows(spark.createDataFrame([(1, text), (2, None)], "whole long, text string"), "whole").orderBy("tag").collect()
+    import re
+
+    starts = [m.start() for m in re.finditer(r"\[ep:", text)]
+    assert [r["text"] for r in rows] == [text[max(0, at - 200) : at + 200].strip() for at in starts] and len(rows) == 60
 
 
 def test_annotations_and_older_reports(spark):

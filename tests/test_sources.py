@@ -1,5 +1,6 @@
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from reelgrade.sources import scripts, sinks
@@ -19,6 +20,24 @@ def test_scripts_by_suffix(spark, tmp_path):
     assert got[".docx"] == "ИНТ. ДОМ - ДЕНЬ\n\n[ep: v=mild]"
 
 
+def test_pdf_pages(spark, tmp_path, monkeypatch):
+    """A stand-in for the optional package, where workers find it too."""
+    (tmp_path / "pdfplumber.py").write_text(
+        "import contextlib\nclass Page:\n    def __init__(self, t): self.t = t\n    def extract_text(self): return self.t\n"
+        "class Doc:\n    def __init__(self, b): self.pages = [Page(x or None) for x in b.read().decode().split('|')]\n"
+        "@contextlib.contextmanager\ndef open(f): yield Doc(f)\n"
+    )
+    monkeypatch.syspath_prepend(str(tmp_path))
+    assert scripts.pdf_pages(b"one||two") == ["one", "", "two"]
+    with pytest.raises(ValueError):
+        scripts.pdf_pages(b"one||two", strict=True)
+    spark.sparkContext.addPyFile(str(tmp_path / "pdfplumber.py"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.PDF").write_bytes(b"one||two")
+    assert scripts.read_scripts(spark, str(tmp_path / "in")).first()["text"] == "one\n\ntwo\n"
+    assert scripts.read_scripts(spark, str(tmp_path / "in"), older=True).first()["text"] == "one||two"  # its suffixes are in lower case
+
+
 def test_lexicon_files(spark, tmp_path):
     (tmp_path / "violence.txt").write_text("# no\nнож:1.5\n\n труп \nнож:2\n", encoding="utf-8")
     (tmp_path / "other.txt").write_text("x\n")
@@ -47,14 +66,28 @@ def test_rejects_by_reason(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "r")).where(F.col("reason") == "skipped").count() == 1
 
 
-def test_headings_of_all_parts_in_three_forms(spark):
+def plain(value):
+    return "" if value is None else repr(value + 0.0) if isinstance(value, float) else str(value)
+
+
+def registered():
+    from reelgrade.plans import ORACLES
+
+    return sorted(ORACLES)
+
+
+@pytest.mark.parametrize("name", registered())
+def test_queries_equal_their_sql(spark, name):
     import duckdb
 
     from reelgrade.plans import ORACLES, QUERIES
 
     folder = "/root/testdata/sf0.001"
-    got = sorted(map(tuple, QUERIES["header_forms"](spark, folder).collect()))
+    made = QUERIES[name](spark, folder)
     with duckdb.connect() as con:
-        con.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet'")
-        assert got == sorted(con.execute(ORACLES["header_forms"]).fetchall())
-        assert len(got) == con.execute("SELECT count(*) FROM part").fetchone()[0]
+        for t in "part events documents embeddings labels conversations".split():
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+        found = con.execute(ORACLES[name])
+        names = [d[0] for d in found.description]
+        want = sorted(tuple(plain(r[names.index(c)]) for c in made.columns) for r in found.fetchall())
+    assert sorted(names) == sorted(made.columns) and sorted(tuple(map(plain, r)) for r in made.collect()) == want
