@@ -11,10 +11,9 @@ from .store import Workspace
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW, SHINGLE = 10, 3
-#: Shingles that one pass over the documents looks for; a larger benchmark takes more passes.
-BLOCK = 50_000
-#: Windows up to which the window table (some 200 bytes each) is sent to every task; a larger one is shuffled.
-SENT_WINDOWS = 100_000
+#: Shingles (8 bytes each), and windows with their words (some 300 bytes each), that one pass over the documents' words
+#: sends to every task; a larger benchmark takes more passes.
+SENT_SHINGLES, SENT_WINDOWS = 1_000_000, 100_000
 
 
 def words(text: Column) -> Column:
@@ -34,49 +33,24 @@ def _starts(w: Column, k: int) -> Column:
     return F.when(n > 0, F.sequence(F.lit(1), F.greatest(n, F.lit(1)))).otherwise(F.array().cast("array<int>"))
 
 
-def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Distinct windows: words, len, and the sorted ids (as strings; null: empty) of the items that hold them."""
+def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The distinct windows (words), and which item (its id as a string; null: empty) holds which window."""
     w = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"), words(F.col(text_col)).alias("w")).where("size(w) > 0")
     cut = F.when(F.size("w") >= WINDOW, F.transform(_starts(F.col("w"), WINDOW), lambda i: F.slice(F.col("w"), i, F.lit(WINDOW))))
-    each = w.select("item", F.explode(cut.otherwise(F.array("w"))).alias("words")).distinct()
-    return each.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("len", F.size("words"))
+    held = w.select("item", F.explode(cut.otherwise(F.array("w"))).alias("words")).distinct()
+    return held.select("words").distinct(), held
 
 
-def _all_shingles(w: Column, k: int) -> Column:
-    return F.transform(_starts(w, k), lambda i: _shingle(w, i, k))
+def _shingles(rows: DataFrame, w: str, k: int) -> DataFrame:
+    """A row for each run of k words: at, its 1-based place, and h, its hash; the columns of ``rows`` stay."""
+    return rows.withColumn("at", F.explode(_starts(F.col(w), k))).withColumn("h", _shingle(F.col(w), F.col("at"), k))
 
 
-def _standing(w: Column, k: int, hashes: list[int]) -> Column:
-    """1-based places at which one of the hashes stands."""
-    return F.filter(_starts(w, k), lambda i: _shingle(w, i, k).isin(hashes))
-
-
-def _occurring(w: Column, k: int, hashes: list[int]) -> Column:
-    """The hashes themselves, once for each place."""
-    return F.filter(_all_shingles(w, k), lambda h: h.isin(hashes))
-
-
-def _with_context(w: Column, k: int, hashes: list[int]) -> Column:
-    """Places with the words around them, from which the window can be compared."""
-    low = lambda at: F.greatest(F.lit(1), at - WINDOW)
-    return F.transform(
-        _standing(w, k, hashes),
-        lambda i: F.struct(
-            _shingle(w, i, k).alias("h"), i.alias("at"), low(i).alias("start"), F.slice(w, low(i), i - low(i) + WINDOW).alias("near")
-        ),
-    )
-
-
-def _blocks(rows: list, size: int) -> Iterator[list]:
-    for i in range(0, len(rows), size):
-        yield rows[i : i + size]
-
-
-def _by_size(rows: list) -> dict[int, list[int]]:
-    out: dict[int, list[int]] = {}
-    for k, h in rows:
-        out.setdefault(k, []).append(h)
-    return out
+def _blocks(table: DataFrame, n: int, size: int) -> Iterator[DataFrame]:
+    """The table in parts of about ``size`` of its n rows, by its hash column h."""
+    parts = -(-n // size)
+    for i in range(parts):
+        yield table if parts == 1 else table.where(F.pmod(F.xxhash64("h"), F.lit(parts)) == i)
 
 
 def find_contamination(
@@ -86,57 +60,48 @@ def find_contamination(
 
     A window is 10 consecutive words of an item (a shorter item is one window). Its shingles (3 words, or all of a
     shorter window) are ordered by how often they stand in all documents; since a window must be contained whole, the
-    one rarest is the prefix that every occurrence must hold. Places where a prefix stands are joined with the windows
-    of that prefix; the window must fit into the document at that offset, and is then compared word by word.
+    one rarest is the prefix that every occurrence must hold. Shingles of the documents are joined with the prefixes;
+    the window must fit into the document at that offset, and is then compared word by word.
+
+    The documents are cut into words once, and that table is read twice: to count the benchmark's shingles, and to
+    look for the prefixes. Both times a counted number of shingles or windows is sent to every task, and a larger
+    benchmark takes more passes. Items are listed once for each different set of windows that documents hold.
 
     Documents and items with null or empty texts, or no words, have no words, windows or hits. A null document id is
     kept; a null item id counts as the empty string. Repeated documents come back as often as they went in; repeated
     items count once. Without items, nothing is hit. Other columns are not read, whatever their names.
     """
-    spark = docs.sparkSession
-    space = Workspace(spark, "decontam")
-    windows = space.table(benchmark_windows(items, item_col, item_text), "windows")
-    per = windows.select(
-        "words", "items", "len",
-        F.when(F.col("len") < SHINGLE, F.col("len")).otherwise(SHINGLE).alias("k"),
-    )
-    parts = [
-        per.where(F.col("k") == k).select(
-            "words", "items", "len", "k",
-            F.posexplode(_all_shingles(F.col("words"), k)).alias("off", "h"),
-        )
-        for k in range(1, SHINGLE + 1)
-    ]
-    tokens = space.table(parts[0].unionByName(parts[1]).unionByName(parts[2]), "tokens")
-    wanted = [tuple(r) for r in tokens.select("k", "h").distinct().collect()]  # of the benchmark, not of the documents
+    space = Workspace(docs.sparkSession, "decontam")
+    distinct, held = benchmark_windows(items, item_col, item_text)
+    windows = space.table(distinct.select("words", F.size("words").alias("len"), F.monotonically_increasing_id().alias("win")), "windows")
+    sizes = sorted(r["k"] for r in windows.select(F.least("len", F.lit(SHINGLE)).alias("k")).distinct().collect())  # of 1, 2, 3
 
     split = docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("w"))
-    counted = spark.createDataFrame([], "h long, n long")
-    for block in _blocks(wanted, BLOCK):
-        here = split.select(F.explode(F.flatten(F.array(*(_occurring(F.col("w"), k, hs) for k, hs in sorted(_by_size(block).items()))))).alias("h"))
-        counted = counted.unionByName(here.groupBy("h").agg(F.count("*").alias("n")))
-    counted = space.table(counted, "counts")
-    first = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "off")).alias("p")
-    rare = tokens.join(counted, "h", "left").groupBy("words", "items", "len", "k").agg(first)
-    rare = space.table(rare.select("words", "items", "len", "k", F.col("p.h").alias("h"), F.col("p.off").alias("off")), "prefixes")
-    prefixes = [tuple(r) for r in rare.select("k", "h").distinct().collect()]
-    looked_up = F.broadcast(rare) if rare.count() <= SENT_WINDOWS else rare
-
-    rows = split.withColumn("row", F.monotonically_increasing_id()).withColumn("n_words", F.size("w").cast("long"))
-    hits = [
-        _with_context(F.col("w"), k, hs) for block in _blocks(prefixes, BLOCK) for k, hs in sorted(_by_size(block).items())
-    ]
-    none = F.array().cast("array<struct<h:bigint,at:int,start:int,near:array<string>>>")
-    rows = rows.select("row", "id", "n_words", F.explode_outer(F.flatten(F.array(*hits)) if hits else none).alias("o"))
-    rows = rows.select("row", "id", "n_words", "o.*").join(looked_up, "h", "left")
-    begin = F.col("at") - F.col("off")
-    fits = (begin >= 1) & (begin + F.col("len") - 1 <= F.col("n_words"))
-    same = F.slice("near", F.greatest(begin - F.col("start") + 1, F.lit(1)), F.col("len")) == F.col("words")
-    ok = fits & same
-    held = rows.groupBy("row", "id", "n_words").agg(
-        F.array_sort(F.collect_set(F.when(ok, F.struct(begin.alias("b"), (begin + F.col("len")).alias("e"))))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set(F.when(ok, F.col("items"))))).alias("items"),
-    )
+    split = split.select(F.monotonically_increasing_id().alias("row"), "id", F.size("w").cast("long").alias("n_words"), "w")
+    split = space.table(split, "words")  # rows are fixed by writing
+    base = split.select("row", "id", "n_words")
+
+    hits = None
+    for k in sizes:
+        parts = space.table(_shingles(windows.where(F.least("len", F.lit(SHINGLE)) == k), "words", k), f"shingles-{k}")
+        wanted = parts.select("h").distinct()
+        found = [
+            _shingles(split.select("w"), "w", k).select("h").join(F.broadcast(block), "h").groupBy("h").agg(F.count("*").alias("n"))
+            for block in _blocks(wanted, wanted.count(), SENT_SHINGLES)
+        ]
+        counts = [space.table(x, "counts") for x in found]
+        first = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "at")).alias("p")
+        rare = parts.join(_union(counts), "h", "left").groupBy("win", "words", "len").agg(first)
+        rare = space.table(rare.select("win", "words", "len", F.col("p.h").alias("h"), F.col("p.at").alias("off")), "prefixes")
+        for block in _blocks(rare, rare.count(), SENT_WINDOWS):
+            met = _shingles(split.where(F.size("w") >= k).select("row", "w"), "w", k).join(F.broadcast(block), "h")
+            met = met.withColumn("b", F.col("at") - F.col("off") + 1).where((F.col("b") >= 1) & (F.col("b") + F.col("len") - 1 <= F.size("w")))
+            met = met.where(F.slice("w", F.greatest("b", F.lit(1)), F.col("len")) == F.col("words"))
+            met = space.table(met.select("row", "win", "b", (F.col("b") + F.col("len")).alias("e")), "hits")
+            hits = met if hits is None else hits.unionByName(met)
+    if hits is None:
+        hits = windows.select(F.col("win").alias("row"), "win", F.col("len").alias("b"), F.col("len").alias("e"))  # empty
+
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     total = F.aggregate(
         "spans", zero,
@@ -146,16 +111,34 @@ def find_contamination(
         ),
         lambda s: s["n"],
     )
-    return held.select(
+    hit = hits.groupBy("row").agg(
+        F.array_sort(F.collect_set(F.struct("b", "e"))).alias("spans"), F.array_sort(F.collect_set("win")).alias("wins")
+    )
+    hit = space.table(hit.select("row", total.alias("n_hit"), "wins", F.sha2(F.array_join(F.col("wins").cast("array<string>"), ","), 256).alias("set")), "hit")
+    sets = hit.groupBy("set").agg(F.first("wins").alias("wins")).select("set", F.explode("wins").alias("win"))
+    named = held.join(windows.select("words", "win").hint("merge"), "words").select("win", "item")
+    listed = sets.join(named.hint("merge"), "win").groupBy("set").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    listed = listed.select("set", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
+    hit = space.table(hit.select("row", "n_hit", "set").join(listed.hint("merge"), "set"), "told")
+    told = base.join(hit.hint("merge"), "row", "left")
+    none = F.lit(0).cast("long")
+    return told.select(
         F.col("id").alias(id_col),
         "n_words",
-        total.alias("n_hit"),
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
-        (total > 0).alias("contaminated"),
+        F.coalesce("n_hit", none).alias("n_hit"),
+        F.coalesce("n_items", none).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
+        F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
     )
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     """Which words of every document stand in windows of benchmark items."""
     return find_contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
