@@ -105,12 +105,77 @@ def test_url_rules(spark):
         urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, keys string"), [("block", "net")])
 
 
-def test_cascade_is_exact_over_its_universe(spark):
+def brute_url(url, rules):
+    m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+    host, path = (m[1], m[2]) if m else ("", "")
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    fits = [k for k in rules if host and (host == k.split("/", 1)[0] or host.endswith("." + k.split("/", 1)[0])) and path.startswith("/" + k.split("/", 1)[1])]
+    best = max(fits, key=len, default=None)
+    return host, path, best, rules.get(best, "allow")
+
+
+def test_url_rules_against_brute_force(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    hosts = ["a.com", "b.a.com", "x.b.a.com", "ba.com", "com", "é.org", "A.org", "org", ""]
+    paths = ["", "/", "/en", "/en/", "/en/x", "/en/x/y", "/de//", "/en/x/?q", "/#/"]
+    urls = [f"http://{rng.choice(hosts)}{rng.choice(paths)}" for _ in range(300)] + [None, "", "x", "://a.com/en/", "a\nb://a.com/"]
+    rules = {k: rng.choice(["block", "allow"]) for k in ["a.com/", "b.a.com/en/", "com/en/x/", "org/", "org/de//", "ba.com/en/", "é.org/"]}
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for most in (urlfilter.MAX_LISTED, 2):  # the second: lists dealt to several cascades
+        monkeypatch.setattr(urlfilter, "MAX_LISTED", most)
+        for r in urlfilter.judge_urls(rows, [(v, k) for k, v in rules.items()]).collect():
+            assert (r["host"], r["path"], r["rule"], r["verdict"]) == brute_url(urls[r["page_id"]], rules)
+    assert urlfilter.judge_urls(rows.where("false"), [("block", "a.com/")]).count() == 0
+    assert {r["verdict"] for r in urlfilter.judge_urls(rows, []).collect()} == {"allow"}
+
+
+def test_a_long_list_of_rules(spark):
+    rules = spark.range(100_000).select(F.lit("block").alias("verdict"), F.concat(F.lit("h"), "id", F.lit(".com/")).alias("key"))
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://www.h"), F.col("id") * 67, F.lit(".com/x")).alias("url"))
+    got = urlfilter.judge_urls(pages, rules).collect()
+    assert len(got) == 3000 and all((r["verdict"] == "block") == (r["page_id"] * 67 < 100_000) for r in got)
+
+
+@pytest.mark.parametrize(("size", "share"), [(20_000, 9), (200_000, 4001)])
+def test_cascade_is_exact_over_its_universe(spark, size, share):
     from reelgrade.llm.store import Workspace
 
-    universe = spark.range(20_000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
-    listed = universe.where("crc32(key) % 9 = 0")
+    universe = spark.range(size).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
+    listed = universe.where(f"crc32(key) % {share} = 0")
     made = urlfilter.BloomCascade.build(listed, universe, Workspace(spark, "test"))
-    assert len(made.levels) > 1
-    wrong = universe.where(made.contains(F.col("key")) != F.expr("crc32(key) % 9 = 0"))
+    n = listed.count()
+    assert len(made.levels) > 1 and sum(m for m, _, _ in made.levels[1:]) <= 16 * n + 64 * len(made.levels)
+    wrong = universe.where(made.contains(F.col("key")) != F.expr(f"crc32(key) % {share} = 0"))
     assert wrong.count() == 0
+
+
+def jump(key_draws, shards):
+    """The algorithm itself: jumps ahead until the next bucket lies beyond the last shard."""
+    b, j, i = -1, 0, 0
+    while j < shards:
+        b = j
+        j = int((b + 1) * (float(1 << 31) / float(key_draws[i] + 1)))
+        i += 1
+    return b
+
+
+def test_shards_against_the_plain_algorithm(spark):
+    draws = spark.range(400).select("id", F.array(*(F.shiftrightunsigned(F.xxhash64("id", F.lit(i)), 33) for i in range(1, 65))).alias("d"))
+    for n in (1, 5, 16, 17, 64):
+        got = draws.select("d", sharding.jump_shard(F.col("id"), n).alias("s")).collect()
+        assert all(r["s"] == jump(r["d"], n) for r in got)
+
+
+def test_benchmarks_beyond_a_pass(spark, monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    say = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(n))
+    items = [(i, say(rng.choice([1, 2, 9, 14, 25]))) for i in range(30)]
+    docs = [(i, say(30) + " " + (items[i % 30][1] if i % 3 else "") + " " + say(5)) for i in range(60)]
+    monkeypatch.setattr(decontam, "SENT_SHINGLES", 40)
+    monkeypatch.setattr(decontam, "SENT_WINDOWS", 30)
+    got = decontam.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == sorted(brute_contamination(docs, items))
