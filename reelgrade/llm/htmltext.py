@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,12 +39,19 @@ TAG = re.compile(
 )
 RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
-#: A container stands for its page if it holds this share of what its parent holds.
-SHARE = 0.7
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A container stands for its page if it holds this share of what its parent holds, and the parent has less than OWN of the
+#: page's text in itself; other containers with OWN of the page's text stand for it too.
+SHARE, OWN = 0.7, 0.1
 #: An element set apart by its name alone stays in the page if it holds more than this share of the page's text.
 MOST = 0.5
-#: Winning paths that a host keeps, and the share of a page's text that one must hold to be used for it.
-PATHS, USED = 4, 0.5
+#: A path wins if this share of its host's pages vote for it (so that a host's winners are bounded by its pages' votes), and
+#: serves a page of which it holds the share USED.
+WINS, USED = 0.05, 0.5
+#: A container whose text is the same on so many pages or more of its host is no article, if others differ.
+SAME = 3
+#: Characters of a path beyond which a hash stands for what is above its last element.
+LONG_PATH = 400
 #: Hosts up to which the winning paths (some 100 bytes each) are sent to every task; beyond that they are joined.
 SENT_HOSTS = 50_000
 
@@ -160,8 +169,11 @@ class Page:
             if rest and rest.strip(" /"):
                 names, hidden, named = self._attributes(rest)
             apart = apart or name in APART or hidden
+            if apart and name in HEADINGS and not hidden and self._of_article(stack):
+                apart = False
             if name in CONTAINERS and name != "body" and not apart:
-                self.paths.append(f"{self.paths[inside]}/{name}{names}")
+                path = f"{self.paths[inside]}/{name}{names}"
+                self.paths.append(path if len(path) <= LONG_PATH else f"{hashlib.blake2b(path.encode('utf-8', 'surrogatepass'), digest_size=12).hexdigest()}/{name}")
                 self.parents.append(inside)
                 inside = len(self.paths) - 1
             link = link or name == "a"
@@ -174,6 +186,15 @@ class Page:
                 stack.append((name, inside, apart, link, region))
         close()
 
+    @staticmethod
+    def _of_article(stack: list[tuple[str, int, bool, bool, int]]) -> bool:
+        """Whether a heading here is in the header of an article, and in nothing else that is apart."""
+        tags = [e[0] for e in stack]
+        if "header" not in tags:
+            return False
+        k = len(tags) - 1 - tags[::-1].index("header")
+        return not stack[k - 1][2] and not APART.intersection(tags[k + 1 :]) and ("article" in tags[:k] or "main" in tags[:k]) if k else False
+
     @staticmethod
     def _attributes(rest: str) -> tuple[str, bool, bool]:
         """The classes as part of a path, digits as #; whether the element is hidden or has such a role; whether its name sets it apart."""
@@ -204,74 +225,129 @@ class Page:
             found[self.parents[i]] += found[i]
         return found
 
-    def best(self) -> tuple[str, float]:
-        """The path of the deepest container that still holds most of the text, and what it holds."""
+    def chosen(self) -> list[int]:
+        """The containers that stand for the page, by themselves: its main element or its articles, if they hold text; in
+        what is left, the deepest container that still holds most of the text, and others that hold OWN of it."""
         found = self.scores()
-        children: dict[int, int] = {}
+        total = found[0]
+        if total <= 0:
+            return [0]
+        last = [p.rsplit("/", 1)[-1].split(".", 1)[0] for p in self.paths]
+        tops = [i for i, t in enumerate(last) if t == "main" and found[i] > 0][:1]
+        if not tops:
+            articles = {i for i, t in enumerate(last) if t == "article" and found[i] > 0}
+            tops = [i for i in sorted(articles) if not articles.intersection(self._above(i))]
+        children: dict[int, list[int]] = {}
         for i in range(1, len(found)):
-            p = self.parents[i]
-            if p not in children or found[i] > found[children[p]]:
-                children[p] = i
-        at = 0
-        while at in children and found[children[at]] >= SHARE * found[at] and found[at] > 0:
-            at = children[at]
-        return self.paths[at], found[at]
+            children.setdefault(self.parents[i], []).append(i)
+        at, others = (tops[0], tops[1:]) if tops else (0, [])
+        while children.get(at) and found[at] > 0:
+            below = max(children[at], key=lambda i: found[i])
+            own = found[at] - sum(found[i] for i in children[at])
+            if found[below] < SHARE * found[at] or own >= OWN * total:
+                break
+            others += [i for i in children[at] if i != below and found[i] >= OWN * total]
+            at = below
+        return [at, *others]
+
+    def _above(self, i: int) -> list[int]:
+        out = []
+        while (i := self.parents[i]) >= 0:
+            out.append(i)
+        return out
+
+    def best(self) -> tuple[str, float]:
+        """The path of the container that stands for the page first, and what it holds."""
+        at = self.chosen()[0]
+        return self.paths[at], self.scores()[at]
 
-    def text(self, winning: list[str]) -> str:
-        """The blocks in the containers of the first winning path that holds enough; else of the page's own best."""
+    def votes(self) -> list[tuple[str, float, int]]:
+        """For each path that stands for the page: what it holds, and a checksum of its text."""
+        found, out = self.scores(), {}
+        for path in dict.fromkeys(self.paths[i] for i in self.chosen()):
+            held, total = self._held([path], found)
+            out[path] = total, zlib.crc32("\n".join(t for i, t, _ in self.blocks if held[i]).encode("utf-8", "surrogatepass"))
+        return [(p, n, c) for p, (n, c) in out.items() if n > 0]
+
+    def _held(self, paths: list[str], found: list[float]) -> tuple[list[bool], float]:
+        """Which containers stand under one of the paths, and what these hold."""
+        held, total = [], 0.0
+        for i, p in enumerate(self.paths):
+            above = self.parents[i] >= 0 and held[self.parents[i]]
+            held.append(above or p in paths)
+            if held[i] and not above:
+                total += found[i]
+        return held, total
+
+    def text(self, winning: list[str], barred: list[str] | tuple = ()) -> str:
+        """The blocks under the winning paths, if these hold enough of the page but for what is barred; else under those that
+        stand for the page by themselves, if any isn't barred; else all."""
         found = self.scores()
-        for path in [*winning, self.best()[0]]:
-            held: list[bool] = []
-            total = 0.0
-            for i, p in enumerate(self.paths):
-                above = self.parents[i] >= 0 and held[self.parents[i]]
-                held.append(above or p == path)
-                if p == path and not above:
-                    total += found[i]
-            if any(held) and total >= USED * found[0]:
+        own = [self.paths[i] for i in self.chosen()]
+        for paths, least in ((winning, USED * (found[0] - self._held(list(barred), found)[1])), ([p for p in own if p not in barred], 0.0)):
+            held, total = self._held(paths, found)
+            if any(held) and total >= least and total > 0:
                 return "\n".join(text for inside, text, _ in self.blocks if held[inside])
         return "\n".join(text for _, text, _ in self.blocks)
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row without a path for each page, and one for each of its votes."""
+    kinds = (pa.string(), pa.string(), pa.float64(), pa.int64())
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
-            part = batch.slice(i, 500)
-            best = [Page(h.as_py() or "").best() for h in part.column(1)]
-            yield pa.record_batch(
-                [part.column(0), pa.array([p for p, _ in best], pa.string()), pa.array([s for _, s in best], pa.float64())],
-                names=["host", "path", "score"],
-            )
+            part, rows = batch.slice(i, 500), []
+            for host, source in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                found = Page(source.as_py() or "").votes()
+                if found:
+                    rows.append((host, None, 0.0, 0))
+                    rows += [(host, *v) for v in found]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["host", "path", "score", "mark"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
             part = batch.slice(i, 500)
-            found = [Page(h.as_py() or "").text(w.as_py() or []) for h, w in zip(part.column(2), part.column(3), strict=True)]
+            given = zip(part.column(2), part.column(3), part.column(4), strict=True)
+            found = [Page(h.as_py() or "").text(w.as_py() or [], b.as_py() or []) for h, w, b in given]
             yield pa.record_batch([part.column(0), part.column(1), pa.array(found, pa.string())], names=["id", "url", "text"])
 
 
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host and its winning paths, most votes first (then the larger text, then the smaller path). A page has one vote."""
+    """host, its winning paths (most votes first, then the larger text, then the smaller path), and those that are barred.
+
+    A page votes for each path that stands for it. A path whose text is the same on SAME pages or more, on all that vote
+    for it, is barred if another path's text differs from page to page.
+    """
     votes = pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    votes = votes.mapInArrow(_votes, "host string, path string, score double").where("score > 0")
-    sums = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("size"))
-    place = F.expr("row_number() OVER (PARTITION BY host ORDER BY n DESC, size DESC, path)")
-    top = sums.withColumn("place", place).where(F.col("place") <= PATHS)
-    ordered = F.array_sort(F.collect_list(F.struct("place", "path")))
-    return top.groupBy("host").agg(F.transform(ordered, lambda x: x["path"]).alias("paths"))
+    votes = votes.mapInArrow(_votes, "host string, path string, score double, mark long")
+    sums = votes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("score").alias("size"), F.min("mark").alias("lo"), F.max("mark").alias("hi"))
+    whole = sums.groupBy("host").agg(
+        F.max(F.when(F.col("path").isNull(), F.col("n"))).alias("pages"), F.max(F.when(F.col("path").isNotNull(), F.col("lo") != F.col("hi"))).alias("differs")
+    )
+    sums = sums.where("path IS NOT NULL").join(whole.hint("merge"), "host")
+    barred = F.col("differs") & (F.col("lo") == F.col("hi")) & (F.col("n") >= SAME)
+    told = sums.withColumn("barred", barred).where(F.col("n") >= WINS * F.col("pages"))
+    place = F.struct((-F.col("n")).alias("n"), (-F.col("size")).alias("size"), "path")
+    ordered = lambda which: F.transform(F.array_sort(F.collect_list(F.when(which, place))), lambda x: x["path"])
+    return told.groupBy("host").agg(ordered(~F.col("barred")).alias("paths"), ordered(F.col("barred")).alias("barred"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text (blocks joined by newlines, empty if none) and n_chars.
 
-    Every page scores its containers and votes for the path (tags and classes, digits generalised) of the one that
-    holds its text; votes are summed by host, and each page is read again with its host's winning paths. A page in
-    which none of them holds half of its text uses its own best container. A null or empty html has an empty text; a
-    null url, or one without ``://``, belongs to the host without a name. Null and repeated ids come back as they are;
-    other columns are not read. Unclosed and stray tags, quotes and comments are read as browsers do, roughly. No
-    rows: no rows.
+    Every page scores its containers and votes for the paths (tags and classes, digits generalised) of those that stand
+    for it: its main element or articles where it has them, else the one that holds most of its text, and others that
+    hold a share of it. Votes are summed by host, paths whose text is the same from page to page are barred where others
+    differ, and each page is read again with its host's winning paths. A page of which they hold less than half uses its
+    own choice. Menus, notices and the like are known by element, role and words of class or id; no name sets body, main
+    or article apart, nor a part that holds most of the page. Of an article's own header, its headings stay.
+
+    A null or empty html has an empty text; a null url, or one without ``://``, belongs to the host without a name. Null
+    and repeated ids come back as they are; other columns are not read. Unclosed and stray tags, quotes and comments are
+    read as browsers do, roughly. No rows: no rows.
     """
     space = Workspace(pages.sparkSession, "html")
     winners = space.table(host_paths(pages, url_col, html_col), "paths")
@@ -279,7 +355,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     rows = pages.select(
         F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), url_host(F.col(url_col)).alias("host")
     )
-    read = rows.join(winners, "host", "left").select("id", "url", "html", "paths").mapInArrow(_texts, "id long, url string, text string")
+    read = rows.join(winners, "host", "left").select("id", "url", "html", "paths", "barred").mapInArrow(_texts, "id long, url string, text string")
     return read.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -299,6 +299,44 @@ def test_names_of_wrappers_set_no_article_apart(wrapper):
     assert htmltext.Page("<p>Before <span class=share>Share</span> and after").text([]) == "Before\nand after"
 
 
+OWN_WORDS = "Own words of the article, which go on for quite a while."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<body class="no-sidebar"><article><p>{OWN_WORDS}</p></article>', OWN_WORDS),
+        (f'<article class="related-work"><p>{OWN_WORDS}</p></article>', OWN_WORDS),
+        (f"<header><h1>Site</h1></header><article><header><h1>Title</h1><p>By me</p></header><p>{OWN_WORDS}</p></article>", f"Title\n{OWN_WORDS}"),
+        ('<article><p>Main.</p></article><div class="disclaimer">We use cookies</div>', "Main."),
+        (f"<div class=intro><p>{OWN_WORDS}</p></div><div class=content><p>{OWN_WORDS * 3}</p></div><div class=x>Few</div>", f"{OWN_WORDS}\n{OWN_WORDS * 3}"),
+        (f"<div class=a><p>{OWN_WORDS * 5}</p></div><div class=b><p>{OWN_WORDS * 4}</p></div>", f"{OWN_WORDS * 5}\n{OWN_WORDS * 4}"),
+        (f"<div class=w>{OWN_WORDS}<div class=b><p>{OWN_WORDS * 4}</p></div></div>", f"{OWN_WORDS}\n{OWN_WORDS * 4}"),
+    ],
+)
+def test_articles_stay_whole(page, want):
+    assert htmltext.Page(page).text([]) == want
+
+
+def test_only_the_hosts_votes_find_the_article(spark):
+    """Pages without telling elements or names: a long notice is the same on all, and the shorter article differs."""
+    notice = "We tell everybody the same long story on each page of this site. " * 6
+    page = lambda i: f"<div class=n><p>{notice}</p></div><div class=t{i}><h2>Item {i}</h2><p>{'Word ' * (5 + i % 7)}{i}.</p></div>"
+    rows = [(i, f"https://{h}.org/{i}", page(i)) for h in "ab" for i in range(12)]
+    rows += [(100, "https://c.org/", page(5))]  # alone on its host: nothing tells that the notice is one
+    got = htmltext.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    for r in got:
+        own = f"Item {r['page_id']}\n{'Word ' * (5 + r['page_id'] % 7)}{r['page_id']}."
+        assert r["text"] == own if r["page_id"] < 100 else notice.strip() in r["text"]
+
+
+def test_deep_and_very_long_pages():
+    deep = "<div>" * 3000 + "<p>Down here</p>" + "</div>" * 3000
+    assert htmltext.Page(deep).text([]) == "Down here"
+    long = "".join(f"<p>Paragraph {i}</p>" for i in range(50_000))
+    assert htmltext.Page(f"<article>{long}</article>").text([]).count("\n") == 49_999
+
+
 def test_ends_of_scripts_are_found_after_letters_that_grow():
     page = f"<p>{'İ' * 20}</p><script>x</SCRIPT><p>First</p><p>Second</p>"
     assert htmltext.Page(page).text([]) == "İ" * 20 + "\nFirst\nSecond"
