@@ -37,7 +37,7 @@ SLOTS = 21
 #: Frames of the queries that are sent to every task at a time, and frames, hits and compared frames handled at a time.
 BLOCK_FRAMES, PART_FRAMES, HITS = 1 << 21, 1 << 16, 1 << 21
 
-# Fixed values. Filters over [frame, pitch class]: kind, first class, classes, frames. Kinds: 0 the whole area, 1 upper
+# Fixed values. Filters over [frame, pitch class], as the public library Chromaprint has them by default (with limits of our own): kind, first class, classes, frames. Kinds: 0 the whole area, 1 upper
 # against lower classes, 2 earlier against later frames, 3 checks, 4 middle frames against outer, 5 middle classes
 # against outer. Two bits each, by the limits that follow.
 FILTERS = [
@@ -157,7 +157,7 @@ class _Index:
     def __init__(self, nodes: list[int], blobs: list[bytes]):
         self.nodes = np.array(nodes, np.int64)
         self.prints, self.owner, self.starts, self.lengths = _joined(blobs)
-        use = _paired(self.owner)
+        use = _paired(self.prints, self.owner)
         self.tables = []
         for k in range(KEYS):
             keys = _sub_keys(self.prints, k)[use]
@@ -168,7 +168,7 @@ class _Index:
         """Aligned pairs with others: a, b, offset, overlap, bit errors."""
         prints, owner, starts, lengths = _joined(blobs)
         codes = [np.empty(0, np.int64)]
-        use = _paired(owner)
+        use = _paired(prints, owner)
         for k, (order, begins) in enumerate(self.tables):
             keys = _sub_keys(prints, k)
             many = (begins[keys + 1] - begins[keys]).astype(np.int64)
@@ -225,9 +225,17 @@ def _joined(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     return prints, np.repeat(np.arange(len(blobs)), lengths), np.cumsum(lengths) - lengths, lengths
 
 
-def _paired(owner: np.ndarray) -> np.ndarray:
-    """Frames whose recording has one APART frames later."""
-    return np.flatnonzero(owner[:-APART] == owner[APART:])
+def _paired(prints: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Frames whose recording has one APART frames later; of a run in which both stay the same, the first and the last.
+
+    A constant sound, silence above all, would propose each of its frames with each of the other's, and all for the
+    offsets that its ends propose."""
+    use = np.flatnonzero(owner[:-APART] == owner[APART:])
+    same = (np.diff(use) == 1) & (owner[use[1:]] == owner[use[:-1]])
+    same &= (prints[use[1:]] == prints[use[:-1]]) & (prints[use[1:] + APART] == prints[use[:-1] + APART])
+    inner = np.zeros(len(use), bool)
+    inner[1:-1] = same[:-1] & same[1:]
+    return use[~inner]
 
 
 _memory: dict = {}
@@ -279,8 +287,9 @@ def align_recordings(media: DataFrame, queries: F.Column, id_col: str = "id", au
     Recordings with equal fingerprints are a class; class_id is its smallest id. ``matches``, for recordings of classes
     with a query in them: the other classes aligned with it, as structs (class_id, offset, overlap, bit_errors) in
     order. A pair is aligned at an offset if the overlap has OVERLAP frames or more and ERRORS of its bits differ at most;
-    of several such offsets the one with most equal bits (then the smallest) counts. Candidate offsets come from sub-keys
-    of single fingerprint integers, of every frame on both sides, and each is compared bit by bit. All classes are read
+    of several such offsets that are proposed, the one with most equal bits (then the smallest) counts. Candidate offsets come from sub-keys
+    of single fingerprint integers, of every frame on both sides (of a constant run, its ends), and each is compared bit
+    by bit. All classes are read
     once for each BLOCK_FRAMES frames of queries; nothing but aligned pairs is shuffled or written.
 
     Null, empty and unreadable recordings, and those too short for a fingerprint, have no prints, no class_id and no
@@ -333,8 +342,8 @@ def _played(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def render_turns(conversations: DataFrame) -> DataFrame:
-    """id (conv_id * 1000 + turn) and a WAV column: an eighth of a second for each word, in a pitch that the word decides."""
-    rows = conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    """id (conv_id * 2^20 + turn) and a WAV column: an eighth of a second for each word, in a pitch that the word decides."""
+    rows = conversations.select((F.col("conv_id") * (1 << 20) + F.col("turn")).alias("id"), "text")
     return rows.mapInArrow(_played, "id long, audio binary")
 
 

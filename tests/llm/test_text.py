@@ -426,8 +426,27 @@ def test_noisy_and_edited_recordings_are_found(spark, words, noise, every):
     assert len(truth) >= 20 and sum(v in got[k] for k, v in truth.items()) >= 0.9 * len(truth)
 
 
+def test_silence_is_linear():
+    """Long constant recordings propose a few offsets, and the same pairs are aligned as with all."""
+    rng = np.random.default_rng(2)
+    tune = play(rng.integers(0, 36, 40))
+    still = lambda seconds: np.zeros(seconds * chroma.RATE, np.float32)
+    sounds = [still(600), still(400), np.concatenate([still(5), tune, still(300)]), np.concatenate([tune, still(400)])]
+    blobs = [chroma.fingerprint(x).astype("<u4").tobytes() for x in sounds]
+    prints, owner, _, lengths = chroma._joined(blobs)
+    assert np.bincount(owner[chroma._paired(prints, owner)])[:2].max() <= 2 and lengths[0] > 9000
+    sounds = [still(30), still(20), np.concatenate([still(5), tune, still(9)]), np.concatenate([tune, still(14)]), np.concatenate([tune, still(2), tune])]
+    blobs = [chroma.fingerprint(x).astype("<u4").tobytes() for x in sounds]
+    a, b, offset, _, _ = chroma._Index([0, 1, 2, 3, 4], blobs).aligned(np.arange(5), blobs)
+    got = dict(zip(zip(a.tolist(), b.tolist(), strict=True), offset.tolist(), strict=True))
+    whole = [np.frombuffer(x, "<u4") for x in blobs]
+    want = {(i, j): aligned_by_brute_force(whole[i], whole[j]) for i in range(5) for j in range(5) if i != j}
+    assert set(got) == {k for k, v in want.items() if v is not None} and len(got) >= 8
+    assert all(got[k] == want[k] for k in ((0, 1), (1, 0)))  # elsewhere, ends of runs meet where other offsets have more equal bits
+
+
 def test_turns_are_played_alike(spark):
     turns = spark.createDataFrame([(1, 0, "The same words"), (2, 3, "the SAME words"), (3, 0, None)], "conv_id long, turn long, text string")
     got = {r["id"]: r["audio"] for r in chroma.render_turns(turns).collect()}
-    assert got[1000] == got[2003] and got[3000] is None and len(chroma.read_wav(bytes(got[1000]))) == 3 * 256
+    assert got[1 << 20] == got[(2 << 20) + 3] and got[3 << 20] is None and len(chroma.read_wav(bytes(got[1 << 20]))) == 3 * 256
     assert F.col("x") is not None
