@@ -15,8 +15,9 @@ from .components import connected_components
 from .store import Workspace
 
 BINS, BANDS = 128, 32
-#: Centers that a bucket with several components offers in the first later round; in the second, all that are left.
-CENTERS = 4
+#: Centers that a bucket which still holds several components offers from its largest one, in each later round, besides the
+#: one with most links; and from the others. The last round is for members that have looked like others without a link.
+DRAWN, OTHERS = (2, 8), 2
 THRESHOLD = 75
 #: Of 128 four-bit sketches, those of a linked pair agree in 98 on average, with a deviation of 4.8; in fewer than this
 #: with a probability of 1e-9.
@@ -59,15 +60,15 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
     return bits.sum(axis=1, dtype=np.uint64)
 
 
-def _may_be_linked(a: str, b: str) -> F.Column:
-    """Whether two sketch columns agree in AGREEING bins at least."""
+def _may_be_linked(na: F.Column, a: F.Column, nb: F.Column, b: F.Column) -> F.Column:
+    """Whether set sizes allow the threshold, and sketches agree in AGREEING bins at least."""
     differ = F.lit(0)
     for i in range(8):
         x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
         for k in (1, 2):
             x = x.bitwiseOR(F.shiftrightunsigned(x, k))
         differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    return differ <= BINS - AGREEING
+    return (100 * F.least(na, nb) >= THRESHOLD * F.greatest(na, nb)) & (differ <= BINS - AGREEING)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,40 +100,76 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["digest", "shingles"])
 
 
+def _join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A sort-merge join, at every size: AQE can split a hot key's rows, and nothing is sent whole to all tasks."""
+    return left.join(right.hint("merge"), on, how)
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may be linked."""
+    for k in "ba":
+        pairs = _join(pairs, sketches.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}")), k)
+    return pairs.where(_may_be_linked(F.col("na"), F.col("sa"), F.col("nb"), F.col("sb"))).select("a", "b")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose full shingle sets are alike enough. Joins by b first: a, the center, may be hot."""
-    left, right = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ba")
+    """The pairs (a, b) of classes whose full shingle sets are alike enough."""
+    for k in "ba":
+        pairs = _join(pairs, sets.select(F.col("node").alias(k), F.col("shingles").alias(f"s{k}")), k)
     both = F.size(F.array_intersect("sa", "sb"))
-    return (
-        _join(_join(pairs, left, "b"), right, "a")
-        .where(100 * both >= THRESHOLD * (F.size("sa") + F.size("sb") - both))
-        .select("a", "b")
-    )
+    return pairs.where(100 * both >= THRESHOLD * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def _join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
-    """A sort-merge join, at every size: AQE can split a hot key's rows, and nothing is sent whole to all tasks."""
-    return left.join(right.hint("merge"), on, how)
+def _placed(members: DataFrame, comps: DataFrame) -> DataFrame:
+    return _join(members.select("bucket", "node"), comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The members of the buckets that hold several components."""
+    several = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    return _join(placed, several.select("bucket"), "bucket", "left_semi")
+
+
+def _stars(mixed: DataFrame, asked: DataFrame, links: DataFrame, drawn: int) -> DataFrame:
+    """Pairs that may be linked, of every member asked for that is outside its bucket's largest component, with a bounded
+    number of centers: of the largest component, the member with most links and some others drawn; of the rest, OTHERS
+    that aren't of the member's component. ``mixed`` and ``asked`` hold the members' sketches."""
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    who = F.struct("node", "n", "sketch").alias("who")
+    lot = lambda i: F.struct(F.xxhash64(F.lit(drawn), F.lit(i), "node", "bucket").alias("h"), who)
+    hub = F.struct(F.coalesce("degree", F.lit(0)).alias("h"), who)
+    parts = _join(mixed, degree, "node", "left").groupBy("bucket", "component").agg(
+        F.count("*").alias("members"), F.max(hub).alias("hub"), *(F.max(lot(i)).alias(f"d{i}") for i in range(drawn))
+    )
+    own = F.array("hub.who", *(f"d{i}.who" for i in range(drawn)))
+    largest = parts.groupBy("bucket").agg(F.max(F.struct("members", "component", own.alias("centers"))).alias("c"))
+    largest = largest.select("bucket", F.col("c.component").alias("most"), "c.centers")
+    rest = _join(parts, largest, "bucket").where("component <> most").groupBy("bucket")
+    centers = rest.agg(F.first("most").alias("most"), F.first("centers").alias("centers"), *(F.max(F.struct(f"d{i}", "component")).alias(f"o{i}") for i in range(OTHERS)))
+    others = F.array(*(F.when(F.col(f"o{i}.component") != F.col("component"), F.col(f"o{i}.d{i}.who")) for i in range(OTHERS)))
+    pairs = _join(asked, centers, "bucket").where("component <> most").withColumn("all", F.concat("centers", F.array_compact(others)))
+    alike = F.filter("all", lambda c: _may_be_linked(F.col("n"), F.col("sketch"), c["n"], c["sketch"]))
+    return _ordered(pairs.select("node", F.explode(F.transform(alike, lambda c: c["node"])).alias("center")), "node", "center")
 
 
-def _alike_in_size(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose set sizes allow the threshold at all."""
-    sized = classes.select("node", "n")
-    for k in "ab":
-        pairs = _join(pairs, sized.withColumnsRenamed({"node": k, "n": f"n{k}"}), k)
-    return pairs.where(100 * F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb")).select("a", "b")
+def _ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    """Distinct pairs (a, b) with a < b."""
+    return pairs.where(F.col(x) != F.col(y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, n_shingles, component_id and kept.
 
-    A document's set holds its distinct five-word shingles (of the whole sequence if shorter). Two documents are
-    linked if 100 * intersection >= 75 * union; every candidate is confirmed on the full sets. Equal word sequences
-    are one class from the start. Each band bucket links its members to one center (a star), so candidates are
-    bounded by the number of members. In buckets that then still hold several components, members outside the largest
-    one become centers of further stars, CENTERS of them first and then all that are still outside; of these stars'
-    edges, only those to other components whose sketches may be of a linked pair are made. So no two members of a
-    bucket stay uncompared, unless they are connected anyway.
+    A document's set holds its distinct five-word shingles (of the whole sequence if shorter), each as 64 bits of a hash
+    of its words' BLAKE2b digests. Two documents are linked if 100 * intersection >= 75 * union; every candidate is
+    confirmed on the full sets. Equal word sequences are one class from the start. Each band bucket links its members
+    to one center (a star), which is drawn anew for every bucket, so that a document meets as many centers as it has
+    buckets. In buckets that then still hold several components, every member outside the largest one meets more
+    centers: the largest component's member with most links (the text that others were copied from has links to all of
+    them), DRAWN other members of it, and OTHERS members outside it, all drawn for each bucket; then once more, with a
+    larger number, those that have met a center with a similar sketch. So a member makes a bounded number of pairs for each of its 32 buckets,
+    whatever their size. A link is lost only if its ends never meet and nothing else connects them; README has the
+    measured recall.
 
     Null or empty texts and texts without words have no shingles and are their own component. A null id is never
     linked (component_id null, kept). Repeated rows come back as often as they went in. No rows: no rows. Other
@@ -144,51 +181,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     feats = space.table(rows.mapInArrow(_features, "id long, digest binary, n long, bands array<long>, sketch array<long>"), "features")
 
     live = feats.where("n > 0 AND id IS NOT NULL")
-    classes = live.groupBy("digest").agg(F.min("id").alias("id"), F.max("n").alias("n"))
-    classes = space.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")  # nodes are fixed by writing
-    own = _join(live.select("id", "digest", "bands", "sketch"), classes.select("digest", "id", "node"), ["digest", "id"])
-    sketches = space.table(own.select("node", "sketch").dropDuplicates(["node"]), "sketches")
-    member = own.select(F.explode("bands").alias("bucket"), "id", "node")
-    center = member.groupBy("bucket").agg(F.min(F.struct("id", "node")).alias("c"), F.max("node").alias("hi"), F.min("node").alias("lo"))
-    center = center.where("lo <> hi").select("bucket", F.col("c.node").alias("a"))
-    members = space.table(_join(member.select("bucket", "node"), center, "bucket"), "members")
-
-    pairs = members.where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    pairs = space.table(_alike_in_size(pairs, classes), "pairs")
-    needed = _join(classes.select("id", "digest", "node"), members.select("node").distinct(), "node", "left_semi")
+    one = live.groupBy("digest").agg(F.min("id").alias("id"), F.min_by(F.struct("n", "bands", "sketch"), "id").alias("one"))
+    classes = one.select("digest", "id", "one.*").withColumn("node", F.monotonically_increasing_id())
+    classes = space.table(classes, "classes")  # nodes are fixed by writing
+    told = space.table(feats.select("id", "digest", "n"), "told")
+    space.drop(feats)
+    member = classes.select(F.explode("bands").alias("bucket"), "node")
+    drawn = F.struct(F.xxhash64("node", "bucket").alias("h"), "node")
+    center = member.groupBy("bucket").agg(F.min(drawn).alias("c"), F.max("node").alias("hi"), F.min("node").alias("lo")).where("lo <> hi")
+    members = space.table(_join(member, center.select("bucket", F.col("c.node").alias("center")), "bucket"), "members")
+
+    met = members.select("node").distinct()
+    needed = space.table(_join(classes.select("id", "digest", "n", "sketch", "node"), met, "node", "left_semi"), "needed")
     sets = _join(rows, needed.select("id").distinct(), "id", "left_semi").select("text").mapInArrow(_sets, "digest binary, shingles array<long>")
-    sets = _join(sets, needed.select("digest", "node"), "digest").select("node", "shingles")
+    sets = _join(sets.dropDuplicates(["digest"]), needed.select("digest", "node"), "digest").select("node", "shingles")
     sets = space.table(sets, "sets")
-    tried, links = pairs, space.table(_confirmed(pairs, sets).distinct(), "links")
 
+    likely = space.table(_likely(_ordered(members, "node", "center"), needed), "likely")
+    links = space.table(_confirmed(likely, sets), "links")
     comps = connected_components(links, space)
-    for centers in (CENTERS, None):
-        placed = _join(members.select("bucket", "node"), comps, "node", "left")
-        placed = space.table(placed.withColumn("component", F.coalesce("component", "node")), "placed")
-        sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-        mixed = sizes.groupBy("bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("most")).where("parts > 1")
-        mixed = _join(placed, mixed.select("bucket", F.col("most.component").alias("most")), "bucket").distinct()
-        mixed = space.table(_join(mixed, sketches, "node"), "mixed")
-        turn = mixed.where("component <> most")
-        if centers:
-            place = F.expr("row_number() OVER (PARTITION BY bucket ORDER BY xxhash64(node), node)")
-            turn = turn.withColumn("turn", place).where(F.col("turn") <= centers)
-        turn = turn.select("bucket", F.col("node").alias("a"), F.col("component").alias("ac"), F.col("sketch").alias("sa"))
-        other = mixed.select("bucket", "node", "component", "sketch")
-        apart = (other["bucket"] == turn["bucket"]) & (other["component"] != turn["ac"]) & _may_be_linked("sketch", "sa")
-        fresh = other.join(turn.hint("merge"), apart).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = space.table(_alike_in_size(_join(fresh, known, ["a", "b"], "left_anti"), classes), "pairs")
-        more = space.table(_confirmed(fresh, sets).distinct(), "links")
-        tried = tried.unionByName(fresh)
+    mixed = space.table(_mixed(_placed(members, comps)), "mixed")
+    space.drop(members)
+    sketches = needed.select("node", "n", "sketch")
+    for turn, drawn in enumerate(DRAWN, 1):
+        known = space.table(_join(mixed, sketches, "node"), "sketched")
+        alike = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        asked = _join(known, alike, "node", "left_semi") if turn > 1 else known
+        fresh = space.table(_join(_stars(known, asked, links, drawn), likely, ["a", "b"], "left_anti"), "likely")
+        more = space.table(_confirmed(fresh, sets), "links")
         if not more.isEmpty():
             links = links.unionByName(more)
             comps = connected_components(links, space)
+        if turn < len(DRAWN):
+            likely = likely.unionByName(fresh)
+            mixed = space.table(_mixed(_placed(mixed.select("bucket", "node"), comps)), "mixed")
+        space.drop(known)
+    space.drop(mixed, sets, needed)
 
-    placed = _join(classes, comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = _join(classes.select("digest", "id", "node"), comps, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = placed.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = space.table(_join(placed.select("digest", "component"), named, "component").select("digest", "component_id"), "named")
-    out = _join(feats.select("id", "digest", "n"), named, "digest", "left")
+    named = space.table(_join(placed, named, "component").select("digest", "component_id"), "named")
+    space.drop(classes)
+    out = _join(told, named, "digest", "left")
     whole = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias(id_col),

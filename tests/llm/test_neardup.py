@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from reelgrade.llm import components, hashing, neardup
@@ -53,6 +54,7 @@ def documents():
     docs.append((270_000, " ".join(hub)))
     docs += [(400, docs[5][1].upper()), (401, "  " + docs[6][1] + "\t"), (402, None), (403, ""), (404, " \n"), (5, docs[5][1]), (5, docs[7][1]), (None, docs[8][1]), (None, None)]
     docs += [(500 + i, docs[20][1]) for i in range(30)]
+    docs += [(600 + i, w) for i, w in enumerate(complementary(1024, "q", "e"))]
     return docs
 
 
@@ -69,14 +71,29 @@ def test_no_documents(spark):
     assert neardup.near_duplicates(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()["kept"]
 
 
-def test_word_hashes_do_not_depend_on_segments(monkeypatch):
+def complementary(n, a, b):
+    """Two different strings of n = 2**k letters with one polynomial hash modulo 2**64, whatever its odd base."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_words_that_a_polynomial_hash_confuses():
+    for n in (1024, 2048):
+        one, two = (hashing.word_hashes(w.encode())[0] for w in complementary(n, "q", "e"))
+        assert one != two
     text = b" ".join(f"word{i % 97}".encode() * (1 + i % 9) for i in range(4000))
-    whole = hashing.word_hashes(text)
-    monkeypatch.setattr(hashing, "SEGMENT", 37)
-    assert (hashing.word_hashes(text) == whole).all() and len(whole) == 4000
-    words = text.split()
-    by = dict(zip(words, whole.tolist(), strict=True))
-    assert [by[w] for w in words] == whole.tolist() and len(set(by.values())) == len(by)
+    by = dict(zip(text.split(), hashing.word_hashes(text).tolist(), strict=True))
+    assert len(set(by.values())) == len(by) and [by[w] for w in text.split()] == hashing.word_hashes(text).tolist()
+
+
+def test_equal_hashes_do_not_make_pieces_equal():
+    words = ["ab", "cd", "ab", "ef", "x" * (hashing.COMPARED + 3), "x" * (hashing.COMPARED + 2) + "y", "cd", "x" * (hashing.COMPARED + 3)]
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    stop = np.cumsum([len(w) for w in words])
+    start = stop - [len(w) for w in words]
+    for hashed in (np.zeros(8, np.uint64), np.array([1, 1, 1, 2, 3, 3, 2, 3], np.uint64), np.arange(8, dtype=np.uint64)):
+        first, kind = hashing.distinct(points, start, stop, hashed)
+        assert [words[first[k]] for k in kind] == words
 
 
 def test_signatures_estimate_similarity():
@@ -104,6 +121,7 @@ def test_pipeline_stages(spark, tmp_path):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
     rows = [(i, t) for i, t in enumerate(texts)] + [(50, texts[3]), (51, f"{say * 3}{say * 2}with {item} and that"), (52, "123"), (53, None), (3, texts[3])]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({"language": F.lit("x"), "nth": F.lit(7), "Key": F.lit("k")})  # names that the stages might use
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     read = docs
