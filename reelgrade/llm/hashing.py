@@ -8,11 +8,22 @@ import numpy as np
 
 SHINGLE = 5
 #: Words that a worker remembers before it starts anew, and the longest of them in bytes.
-MEMORY_WORDS, MEMORY_BYTES = 400_000, 48
+MEMORY_WORDS, MEMORY_BYTES = 200_000, 48
 #: Characters compared at a time; a longer piece is compared alone.
 COMPARED = 1 << 19
 
 
+_holder: dict = {}
+
+
+def claim(owner: str, forget) -> None:
+    """Called by an operator in a Python worker before it remembers words: what the worker held for another is forgotten,
+    as workers are used again from operator to operator. ``forget`` empties the owner's memory."""
+    if _holder.get("owner") != owner and "forget" in _holder:
+        _holder["forget"]()
+    _holder.update(owner=owner, forget=forget)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The 64-bit finalizer: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(33))
@@ -48,6 +59,7 @@ _words = _Words()
 
 def word_hashes(joined: bytes) -> np.ndarray:
     """A hash for each word of a text whose words are separated by single spaces."""
+    claim("words", _words.clear)
     words = joined.split(b" ") if joined else []
     return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
 

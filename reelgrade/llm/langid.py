@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import distinct, mix, stream
+from .hashing import claim, distinct, mix, stream
 
 ORDER = 4
 #: The sample to fit on: so many documents of a language at most, of texts of so many characters at most.
@@ -28,7 +28,7 @@ SLACK = 4.0
 #: A document's evidence counts as that of so many characters at most, for its score.
 EVIDENCE = 50
 #: Characters of a batch of documents; a longer text is scored in parts. Words that a worker remembers, and the longest of them.
-BATCH_CHARS, MEMORY_WORDS, MEMORY_LETTERS = 1 << 20, 250_000, 40
+BATCH_CHARS, MEMORY_WORDS, MEMORY_LETTERS = 1 << 18, 150_000, 40
 START, STOP = 0, 1
 
 _GRAM = stream(31, ORDER)
@@ -211,6 +211,7 @@ class KneserNey:
     def _known(self, joined: str, points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Costs of distinct words, the shorter ones remembered from batch to batch; a worker remembers those of one
         model only."""
+        claim("languages", _memory.clear)
         if _memory.get("model") is not self or len(_memory["rows"]) > MEMORY_WORDS:
             _memory.clear()
             _memory.update(model=self, rows={}, costs=np.empty((0, len(self.languages))))

@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import distinct, mix
+from .hashing import claim, distinct, mix
 from .tokencount import BATCH_CHARS, RESET, PieceCutter, character_classes
 
 #: Tokens of a packed row; tokens that a task gathers before it packs them.
@@ -191,6 +191,7 @@ def pack_tokens(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = token_ids(ranks_path, pattern, classes)
+        claim("ids", made.known.clear)
         held: list[tuple[int | None, int, np.ndarray]] = []
         size, first = 0, TaskContext.get().partitionId() << 33
         for batch in batches:

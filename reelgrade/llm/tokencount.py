@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import distinct, mix
+from .hashing import claim, distinct, mix
 
 # Classes of characters, as the pattern tells them apart.
 LETTER, STMD, R, V, LL, E, NUMBER, OTHER, APOSTROPHE, SPACE, WHITE, RESET = range(12)
@@ -355,6 +355,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = counter(tokenizer, classes)
+        claim("counts", made.known.clear)
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
