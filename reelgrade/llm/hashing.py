@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
+import sys
 
 import numpy as np
+import pyarrow as pa
 
 SHINGLE = 5
 #: Words that a worker remembers before it starts anew, and the longest of them in bytes.
@@ -18,9 +21,17 @@ _holder: dict = {}
 
 def claim(owner: str, forget) -> None:
     """Called by an operator in a Python worker before it remembers words: what the worker held for another is forgotten,
-    as workers are used again from operator to operator. ``forget`` empties the owner's memory."""
-    if _holder.get("owner") != owner and "forget" in _holder:
+    as workers are used again from operator to operator, and free memory goes back to the machine. ``forget`` empties the
+    owner's memory."""
+    if _holder.get("owner") == owner:
+        return
+    if "forget" in _holder:
         _holder["forget"]()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+            if trim is not None:
+                trim(0)
     _holder.update(owner=owner, forget=forget)
 
 

@@ -18,7 +18,7 @@ from .hashing import claim
 
 SPACE = "▁"
 #: Words whose pieces a worker remembers before it starts anew.
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 250_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 
 
