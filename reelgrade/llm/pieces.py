@@ -8,6 +8,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 from .hashing import claim
 
 SPACE = "▁"
-#: Words whose pieces a worker remembers before it starts anew.
+#: Words whose pieces a worker remembers; when half of them are new, those of the other half that weren't met again go.
 MEMORY_WORDS = 250_000
+#: Characters that a group of an alphabet has at least, for words to be cut where they leave it.
+ALPHABET = 20
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 
 
@@ -85,8 +88,34 @@ class PieceCodec:
         self.unknown_surface = trained.unk_surface
         #: Without pieces that hold a space after something else, no merge crosses the start of a word.
         self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if self.by_word else re.compile("(?s).+")
+        self.words = self._cutter() if self.by_word else re.compile("(?s).+")
         self.known: dict[str, tuple[bytes, bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, bytes, str]] = {}
+
+    def _cutter(self) -> re.Pattern:
+        """Cuts words at their starts, and where one group of characters ends and another begins: characters that stand
+        side by side in any piece (word marks aside) are of one group, so that no merge crosses such a place either."""
+        root: dict[str, str] = {}
+
+        def find(c: str) -> str:
+            while root.setdefault(c, c) != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        for piece in self.ids:
+            inner = piece.lstrip(SPACE)
+            for c in inner:
+                root[find(c)] = find(inner[0])
+        groups: dict[str, list[str]] = {}
+        for c in root:
+            groups.setdefault(find(c), []).append(c)
+        large = ["".join(map(re.escape, sorted(g))) for g in groups.values() if len(g) >= ALPHABET]
+        runs = [f"[{g}]+" for g in large] + [f"[^{SPACE}{''.join(large)}]+"]
+        return re.compile(f"{SPACE}*(?:{'|'.join(runs)})|{SPACE}+")
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.older.clear()
 
     def normalize(self, text: str) -> tuple[str, np.ndarray | None]:
         """The normalised text, and for each of its characters and its end the source byte at which it starts.
@@ -155,13 +184,17 @@ class PieceCodec:
 
     def _word(self, word: str) -> tuple[bytes, bytes, str]:
         """The ids, the characters that each covers (a byte of a character: 0 but for its last byte), and their text."""
-        parts = self._merge(word)
-        ids, covers = [*map(self.ids.get, parts)], [*map(len, parts)]
-        if None in ids:
-            ids, covers = self._fall_back(parts)
-        made = array("i", ids).tobytes(), array("i", covers).tobytes(), self._surface(ids)
+        made = self.older.get(word)
+        if made is None:
+            parts = self._merge(word)
+            ids, covers, surface = [*map(self.ids.get, parts)], [*map(len, parts)], None
+            if None in ids:
+                ids, covers = self._fall_back(parts)
+                surface = self._surface(ids)
+            made = array("i", ids).tobytes(), array("i", covers).tobytes(), word.replace(SPACE, " ") if surface is None else surface
         if len(word) <= 40:
-            if len(self.known) > MEMORY_WORDS:
+            if len(self.known) >= MEMORY_WORDS // 2:
+                self.older = self.known.copy()
                 self.known.clear()
             self.known[word] = made
         return made
@@ -188,8 +221,8 @@ class PieceCodec:
         normal, origin = self.normalize(text or "")
         known, word = self.known, self._word
         found = [known.get(w) or word(w) for w in self.words.findall(normal)]
-        ids, covers = (np.frombuffer(b"".join(f[i] for f in found), np.int32) for i in (0, 1))
-        return ids, covers, "".join(f[2] for f in found), origin
+        ids, covers = (np.frombuffer(b"".join(map(itemgetter(i), found)), np.int32) for i in (0, 1))
+        return ids, covers, "".join(map(itemgetter(2), found)), origin
 
     def spans(self, text: str, covers: np.ndarray, origin: np.ndarray | None) -> np.ndarray:
         """The source byte at which each piece ends; a piece begins where the one before ends, the first at 0."""
@@ -263,7 +296,7 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(model)
-        claim("pieces", made.known.clear)
+        claim("pieces", made.forget)
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)

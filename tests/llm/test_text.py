@@ -101,6 +101,31 @@ def test_pieces_equal_the_library(codec):
                 start = end
 
 
+def test_words_are_cut_between_alphabets(codec, monkeypatch):
+    """A word is merged once, whatever stands around it, and remembered while it is met; pieces stay the library's."""
+    import sentencepiece
+
+    made, merged = pieces.PieceCodec(public_tokenizers.path("piece_bpe_32k.model")), []
+    merge = made._merge
+    monkeypatch.setattr(made, "_merge", lambda word: merged.append(word) or merge(word))
+    made.encode(" ".join(f"{a}rechvi{b}" for a in ("", ".", "\n", "[[") for b in ("", ",", "...", "\n***", "٣")))
+    assert sorted(word for word in merged if "rechvi" in word) == ["rechvi", "▁rechvi"]
+    rng = random.Random(5)
+    signs = [*"!?.,;:'\"()[]{}^-\\/#$%&*~|\n\t·£²7٣ßжا数", "\u0300", "<0x0A>", "\U0001f600", "…", "▁", "ﬁ"]
+    texts = [" ".join("".join(rng.choice(("rechvi", "Zeñor", "мир", "")) + "".join(rng.choices(signs, k=rng.randrange(4))) for _ in range(3)) for _ in range(40)) for _ in range(60)]
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    want = library.encode(texts)
+    for text, ids, plain in zip(texts, want, library.decode(want), strict=True):
+        got, _, surface, _ = made.encode(text)
+        assert got.tolist() == ids and made.strip(surface) == plain
+
+    monkeypatch.setattr(pieces, "MEMORY_WORDS", 8)
+    made.forget()
+    merged.clear()
+    made.encode(" ".join(f"again new{chr(97 + i)}" for i in range(26)))
+    assert merged.count("▁again") == 1 and len(made.known) + len(made.older) <= 8
+
+
 def test_character_map_takes_the_longest_prefix():
     """A hand-made double array: 'a' -> 'x', 'ab' -> 'yz'."""
     texts = b"x\0yz\0"
