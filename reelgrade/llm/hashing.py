@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import functools
 import hashlib
 import sys
 
@@ -25,14 +26,34 @@ def claim(owner: str, forget) -> None:
     owner's memory."""
     if _holder.get("owner") == owner:
         return
+    give_back()
+    _holder.update(owner=owner, forget=forget)
+
+
+def give_back() -> None:
+    """What the worker remembers is forgotten, and its free memory goes back to the machine."""
     if "forget" in _holder:
         _holder["forget"]()
+        _holder.clear()
         pa.default_memory_pool().release_unused()
         if sys.platform == "linux":
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
             if trim is not None:
                 trim(0)
-    _holder.update(owner=owner, forget=forget)
+
+
+def given_back(run):
+    """A function over batches after whose last one the worker gives its memory back: it stays alive, idle, beside
+    operators that need no Python."""
+
+    @functools.wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
 
 
 def mix(h: np.ndarray) -> np.ndarray:

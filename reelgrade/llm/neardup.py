@@ -71,6 +71,7 @@ def _may_be_linked(na: F.Column, a: F.Column, nb: F.Column, b: F.Column) -> F.Co
     return (100 * F.least(na, nb) >= THRESHOLD * F.greatest(na, nb)) & (differ <= BINS - AGREEING)
 
 
+@hashing.given_back
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
@@ -89,6 +90,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+@hashing.given_back
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in (batch.slice(i, 200) for i in range(0, batch.num_rows, 200)):

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -66,6 +67,14 @@ def test_components_against_all_pairs(spark):
     assert sorted(map(key, got)) == sorted(map(key, brute_components(docs)))
 
 
+def test_workers_keep_nothing_after_their_batches():
+    batch = pa.record_batch([pa.array([1, 2]), pa.array(["one two three four five six", None])], names=["id", "text"])
+    for over in (neardup._features(iter([batch])), neardup._sets(iter([batch.select(["text"])]))):
+        next(over)
+        assert hashing._words and hashing._holder
+        assert not list(over) and not hashing._words and not hashing._holder
+
+
 def test_no_documents(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert neardup.near_duplicates(spark.createDataFrame([(1, None)], "doc_id long, text string")).first()["kept"]
