@@ -17,7 +17,7 @@ from .store import Workspace
 BINS, BANDS = 128, 32
 #: Centers that a bucket which still holds several components offers from its largest one, in each later round, besides the
 #: one with most links; and from the others. The last round is for members that have looked like others without a link.
-DRAWN, OTHERS = (2, 8), 2
+DRAWN, OTHERS = (2, 16), 2
 THRESHOLD = 75
 #: Of 128 four-bit sketches, those of a linked pair agree in 98 on average, with a deviation of 4.8; in fewer than this
 #: with a probability of 1e-9.
@@ -107,6 +107,14 @@ def _join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "in
     return left.join(right.hint("merge"), on, how)
 
 
+def _centered(member: DataFrame) -> DataFrame:
+    """The members (bucket, node) of buckets that hold several nodes, and their bucket's center: the node that comes first
+    in one drawn order of all nodes, so that buckets which share many members have few centers and propose few pairs."""
+    drawn = F.struct(F.xxhash64("node").alias("h"), "node")
+    center = member.groupBy("bucket").agg(F.min(drawn).alias("c"), F.max("node").alias("hi"), F.min("node").alias("lo")).where("lo <> hi")
+    return _join(member, center.select("bucket", F.col("c.node").alias("center")), "bucket")
+
+
 def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs (a, b) that may be linked."""
     for k in "ba":
@@ -165,9 +173,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A document's set holds its distinct five-word shingles (of the whole sequence if shorter), each as 64 bits of a hash
     of its words' BLAKE2b digests. Two documents are linked if 100 * intersection >= 75 * union; every candidate is
     confirmed on the full sets. Equal word sequences are one class from the start. Each band bucket links its members
-    to one center (a star), which is drawn anew for every bucket, so that a document meets as many centers as it has
-    buckets. In buckets that then still hold several components, every member outside the largest one meets more
-    centers: the largest component's member with most links (the text that others were copied from has links to all of
+    to one center (a star), by one drawn order for all buckets, so that near copies, which share most buckets, don't
+    confirm many links that say the same. In buckets that then still hold several components, every member outside the
+    largest one meets more centers: the largest component's member with most links (the text that others were copied from has links to all of
     them), DRAWN other members of it, and OTHERS members outside it, all drawn for each bucket; then once more, with a
     larger number, those that have met a center with a similar sketch. So a member makes a bounded number of pairs for each of its 32 buckets,
     whatever their size. A link is lost only if its ends never meet and nothing else connects them; README has the
@@ -189,9 +197,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     told = space.table(feats.select("id", "digest", "n"), "told")
     space.drop(feats)
     member = classes.select(F.explode("bands").alias("bucket"), "node")
-    drawn = F.struct(F.xxhash64("node", "bucket").alias("h"), "node")
-    center = member.groupBy("bucket").agg(F.min(drawn).alias("c"), F.max("node").alias("hi"), F.min("node").alias("lo")).where("lo <> hi")
-    members = space.table(_join(member, center.select("bucket", F.col("c.node").alias("center")), "bucket"), "members")
+    members = space.table(_centered(member), "members")
 
     met = members.select("node").distinct()
     needed = space.table(_join(classes.select("id", "digest", "n", "sketch", "node"), met, "node", "left_semi"), "needed")

@@ -67,6 +67,24 @@ def test_components_against_all_pairs(spark):
     assert sorted(map(key, got)) == sorted(map(key, brute_components(docs)))
 
 
+def near_copies(n):
+    """Sets of n texts that all differ from one text, and so from each other, in a few words."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**63, 150).astype(np.uint64)
+    return [np.unique(np.concatenate((np.delete(base, rng.choice(150, 8, replace=False)), rng.integers(0, 2**63, 8).astype(np.uint64)))) for _ in range(n)]
+
+
+def test_pairs_of_a_group_of_near_copies(spark):
+    """The first stars of a group propose a few pairs a member, however large it is and however many buckets it shares."""
+    of = {}
+    for n in (150, 600):
+        rows = [(int(k), i) for i, s in enumerate(near_copies(n)) for k in neardup.band_keys(s).view(np.int64)]
+        members = neardup._centered(spark.createDataFrame(rows, "bucket long, node long"))
+        of[n] = neardup._ordered(members, "node", "center").count()
+        assert members.select("node").distinct().count() == n
+    assert of[150] <= 8 * 150 and of[600] <= 8 * 600
+
+
 def test_workers_keep_nothing_after_their_batches():
     batch = pa.record_batch([pa.array([1, 2]), pa.array(["one two three four five six", None])], names=["id", "text"])
     for over in (neardup._features(iter([batch])), neardup._sets(iter([batch.select(["text"])]))):
