@@ -35,7 +35,8 @@ HEADINGS = (
     (rf"{_I}{_B}({TYPES})\.([A-ZА-ЯЁ][^.\n]{{2,80}})\.(?=ДЕНЬ|НОЧЬ|ВЕЧЕР|УТРО|DAY|NIGHT|EVENING|MORNING{_B})", "$1. $2 - "),
     (rf"{_M}^(\d+\.\s*(?:{TYPES_DOT})\s+[^\n]{{2,120}}?)\.\s*({S.T8}){_B}", "$1 - $2"),
     (rf"{_M}^(\d+\.\s*{S.TYPE}\s*[A-ZА-ЯЁ]{{3,}})\.([A-ZА-ЯЁ]{{3,}})\s*\.\s*({S.T6_EN})", "$1 $2 - $3"),
-    (rf"{_M}([^-:\n]{{2,120}}?)\s*[:.]\s*-?\s*({S.T8_EN}){_B}", "$1 - $2"),
+    # At most 120 characters before a mark, matched lazily, end as the last two of them do: only these are looked at.
+    (rf"{_M}([^-:\n]{{2}})\s*[:.]\s*-?\s*({S.T8_EN}){_B}", "$1 - $2"),
     (rf"{_M}{_B}({S.T8_EN})\.\s*$", "$1"),
     (r"[ \t]{2,}", " "),
     (r"(?dm)[ \t]+$", ""),
