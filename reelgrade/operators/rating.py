@@ -58,14 +58,19 @@ def _problem_rows(found: Column, category: str) -> Column:
     )
 
 
-def per_class() -> Column:
-    """The map of a rated scene's results by category."""
+def _class_rows() -> Column:
+    """A rated scene's results as (key, value) by category."""
     entry = lambda c: F.struct(
         F.col(f"rule_{c}").alias("rule_score"), F.col(f"model_{c}").alias("model_proba"), F.col(f"episode_{c}").alias("episode_max"),
         F.col(f"final_{c}").alias("final_proba"), R.severity_name(F.col(f"rank_{c}")).alias("severity"),
         F.size(L.of_category(F.col("hits"), c)).cast("long").alias("episodes_count"),
     )
-    return F.create_map(*(x for c in CATEGORIES for x in (F.lit(c), entry(c))))
+    return F.array(*(F.struct(F.lit(c).alias("key"), entry(c).alias("value")) for c in CATEGORIES))
+
+
+def per_class() -> Column:
+    """The map of a rated scene's results by category."""
+    return F.map_from_entries(_class_rows())
 
 
 def _sums(scene: str | None = None) -> list[Column]:
@@ -116,19 +121,17 @@ def reports(rated: DataFrame, id_col: str = "script_id", text_col: str = "text")
     header = parse_header(F.col(text_col))
     there = F.col("scene_index").isNotNull()
     rated = rated.withColumn("age_rank", F.when(there, F.col("age_rank")))
+    # A map can't be sorted: the results by category are rows until the details are in order.
     detail = rated.withColumn("h", header).select(
         id_col,
         F.struct(
-            "scene_index", *(F.col(f"h.{f}").alias(f) for f in FIELDS), per_class().alias("per_class"),
+            "scene_index", *(F.col(f"h.{f}").alias(f) for f in FIELDS), _class_rows().alias("per_class"),
             R.age_name(F.col("age_rank")).alias("scene_rating"), problems(F.col(text_col)).alias("problems"),
         ).alias("detail"),
         "scene_index", "age_rank", "hits", *(f"rank_{c}" for c in CATEGORIES),
     )
-    # A map can't be sorted; the scenes' places are, and the details follow them as JSON.
-    gathered = F.collect_list(F.when(there, F.struct(F.col("scene_index").alias("i"), F.to_json("detail").alias("d")))).alias("ds")
-    kind = detail.schema["detail"].dataType.simpleString()
-    s = detail.groupBy(id_col).agg(*_sums("scene_index"), gathered)
-    s = s.withColumn("details", F.transform(F.array_sort("ds"), lambda x: F.from_json(x["d"], kind)))
+    s = detail.groupBy(id_col).agg(*_sums("scene_index"), F.collect_list(F.when(there, F.col("detail"))).alias("ds"))
+    s = s.withColumn("details", F.transform(F.sort_array("ds"), lambda d: d.withField("per_class", F.map_from_entries(d["per_class"]))))
     guide = F.create_map(
         *(
             x for c in CATEGORIES for x in (

@@ -241,13 +241,14 @@ def fused_severity(spark, sf_dir):
 
 @query()
 def document_scripts(spark, sf_dir):
-    """Documents as scripts with headings put before their lines: normalised, split, parsed, rated and reported."""
+    """Documents as scripts with headings put before their lines: normalised, split, parsed, rated and reported, each with its whole report as JSON."""
     heading = F.concat(F.lit("1-2. INT. ROOM "), F.col("doc_id").cast("string"), F.lit(" - NIGHT\n"))
     texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         F.col("doc_id").cast("string").alias("script_id"), F.concat(heading, F.regexp_replace("text", "\n", "\n\nEXT. YARD - DAY\n")).alias("text")
     )
     made = rate_scripts(texts, lexicon=P.LEXICON, overrides=P.OVERRIDES)
-    return made.select("script_id", F.col("report.rating").alias("rating"), F.col("report.summary.count_scenes").alias("count_scenes"))
+    whole = F.to_json("report", {"ignoreNullFields": "false"})
+    return made.select("script_id", F.col("report.rating").alias("rating"), F.col("report.summary.count_scenes").alias("count_scenes"), whole.alias("report"))
 
 
 # Segmentation and text ---------------------------------------------------------------------------------------------
