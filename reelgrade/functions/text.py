@@ -66,7 +66,7 @@ def squeeze(x: Column) -> Column:
 
 def first_line(x: Column) -> Column:
     """The text up to its first line end."""
-    return F.get(F.split(x, r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]", 2), F.lit(0))
+    return F.regexp_extract(x, r"^[^\n\r\x0b\x0c\x1c-\x1e\x85  ]*", 0)
 
 
 def title_case(x: Column) -> Column:

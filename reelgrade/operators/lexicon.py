@@ -1,7 +1,7 @@
 """Lexicon hits, scores and counts. A text is scanned in its own row: no join, no shuffle.
 
-The words of a text are intersected with the lexicon first; only words that occur are looked for by pattern, so the
-cost of a large lexicon is one hash lookup for each word.
+The words of a text are intersected with the lexicon first (unless that has few); only words that occur are looked for by
+pattern, so the cost of a large lexicon is one hash lookup for each word.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from ..functions.ratings import rule_score
 from ..functions.values import CATEGORIES, HIT_CONTEXT, LEXICON, OVERRIDE_AGE, OVERRIDES, PRESENCE_WORDS, SCORED_CHARS
 
 Entry = tuple[str, int, str, float]
+#: So many words are each looked for in a text; of more, those are that are among the text's words.
+FEW_WORDS = 16
 
 
 def entries(lexicon: dict[str, Iterable[tuple[str, float]]] | None = None) -> list[Entry]:
@@ -43,6 +45,8 @@ def _occurring(low: Column, lexicon: list[Entry]) -> Column:
             for c, i, w, x in lexicon
         )
     )
+    if len({w for _, _, w, _ in lexicon}) <= FEW_WORDS:  # inside other words too, which the patterns tell
+        return F.filter(known, lambda e: F.contains(low, e["word"]))
     single, phrases = sorted({w for _, _, w, _ in lexicon if one(w)}), sorted({w for _, _, w, _ in lexicon if not one(w)})
     found = F.array_intersect(F.array(*map(F.lit, single)).cast("array<string>"), F.split(low, r"[^\p{L}\p{N}_]+"))
     there = F.filter(F.array(*map(F.lit, phrases)).cast("array<string>"), lambda w: F.contains(low, w))

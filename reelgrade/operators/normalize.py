@@ -19,6 +19,7 @@ from ..functions import text as X
 TYPES = "ИНТ|НАТ|INT|EXT"
 TYPES_DOT = r"ИНТ\.|НАТ\.|INT\.|EXT\."
 _B, _I, _M = X.BORDER, "(?iUd)", "(?iUdm)"
+_W = f"(?<!{X.WORD})"  # the border before a letter
 RAISED_TYPES = (("нат", "НАТ"), ("инт", "ИНТ"), ("nat", "NAT"), ("int", "INT"), ("ext", "EXT"))
 RAISED_TIMES = "ДЕНЬ НОЧЬ ВЕЧЕР УТРО DAY NIGHT EVENING MORNING РЕЖИМ РАССВЕТ ЗАКАТ СУМЕРКИ".split()
 
@@ -30,14 +31,15 @@ TRAILING_DOUBLE, TRAILING_SINGLE = r"(?Udm)[ \t]*\\\\\s*$", r"(?Udm)[ \t]*\\\s*$
 
 HEADINGS = (
     *((rf"{_M}^\s*{low}{_B}\.?", f"{high}.") for low, high in RAISED_TYPES),
-    (rf"{_M}{_B}({TYPES})(?!\.)\s+", "$1. "),
-    (rf"{_M}{_B}({TYPES_DOT})\s*[-:]\s+", "$1 "),
-    (rf"{_I}{_B}({TYPES})\.([A-ZА-ЯЁ][^.\n]{{2,80}})\.(?=ДЕНЬ|НОЧЬ|ВЕЧЕР|УТРО|DAY|NIGHT|EVENING|MORNING{_B})", "$1. $2 - "),
+    # Words are looked for behind the space or dot that ends them, which few characters are.
+    (rf"{_M}\s(?<={_W}(?:{TYPES})\s)\s*", ". "),
+    (rf"{_M}\.(?<={_W}(?:{TYPES_DOT}))\s*[-:]\s+", ". "),
+    (rf"{_I}\.(?<={_W}(?:{TYPES_DOT}))([A-ZА-ЯЁ][^.\n]{{2,80}})\.(?=ДЕНЬ|НОЧЬ|ВЕЧЕР|УТРО|DAY|NIGHT|EVENING|MORNING{_B})", ". $1 - "),
     (rf"{_M}^(\d+\.\s*(?:{TYPES_DOT})\s+[^\n]{{2,120}}?)\.\s*({S.T8}){_B}", "$1 - $2"),
     (rf"{_M}^(\d+\.\s*{S.TYPE}\s*[A-ZА-ЯЁ]{{3,}})\.([A-ZА-ЯЁ]{{3,}})\s*\.\s*({S.T6_EN})", "$1 $2 - $3"),
     # At most 120 characters before a mark, matched lazily, end as the last two of them do: only these are looked at.
     (rf"{_M}([^-:\n]{{2}})\s*[:.]\s*-?\s*({S.T8_EN}){_B}", "$1 - $2"),
-    (rf"{_M}{_B}({S.T8_EN})\.\s*$", "$1"),
+    (rf"{_M}\.(?<={_W}(?:{S.T8_EN})\.)\s*$", ""),
     (r"[ \t]{2,}", " "),
     (r"(?dm)[ \t]+$", ""),
     (r"(?U)\s*--+\s*", " - "),
