@@ -35,7 +35,7 @@ def starts(p: str) -> list[str]:
 
 
 def quoted(word: str) -> str:
-    return "\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    return word if word.isalnum() else "\\Q" + word.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
 def whole_word(word: str) -> str:
@@ -59,6 +59,11 @@ def word_count(x: Column) -> Column:
     return F.size(F.regexp_extract_all(x, F.lit(r"(?U)\S+"), F.lit(0))).cast("long")
 
 
+def has_words(x: Column, n: int) -> Column:
+    """Whether there are n words or more; what follows the n-th one's first character isn't read."""
+    return x.rlike(rf"(?U)\A\s*+(?:\S++\s++){{{n - 1}}}\S")
+
+
 def squeeze(x: Column) -> Column:
     """White space as single spaces, none at the ends."""
     return strip(F.regexp_replace(x, r"(?U)\s+", " "))

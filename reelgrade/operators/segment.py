@@ -20,7 +20,7 @@ def has_action(text: Column, verbs=ACTION_VERBS) -> Column:
 
 def keep_scenes(parts: Column, verbs=ACTION_VERBS) -> Column:
     """Parts without outer white space that have five words, or three of which one is a verb of action."""
-    kept = lambda p: (X.word_count(p) >= 5) | ((X.word_count(p) >= 3) & has_action(p, verbs))
+    kept = lambda p: X.has_words(p, 5) | (X.has_words(p, 3) & has_action(p, verbs))
     return F.filter(F.transform(parts, X.strip), kept)
 
 

@@ -54,3 +54,10 @@ def test_few_and_many_words_have_the_same_hits(spark):
     many = few + [("profanity", i, f"unseen{i}", 1.0) for i in range(L.FEW_WORDS)]
     row = spark.createDataFrame([("The other is in this: the isle is.",)], "t string").select(L.hits(F.col("t"), few).alias("a"), L.hits(F.col("t"), many).alias("b")).first()
     assert row["a"] == row["b"] and [(h["match"], h["offset"]) for h in row["a"]] == [("the", 0), ("the", 22), ("is", 10), ("is", 31), ("is in", 10)]
+
+
+def test_words_are_counted_as_far_as_asked(spark):
+    texts = ["", " ", "a", "a b", " a  b\u00a0c ", "a b c\nd e", "a b c d", "x" * 300_000, "\u2003a\u2003b c\td\x85e f "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = rows.select(*(F.expr("true") & X.has_words(F.col("t"), n) == (X.word_count(F.col("t")) >= n) for n in (1, 3, 5))).collect()
+    assert all(all(r) for r in got)
